@@ -47,13 +47,22 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Infinities become null, nulls become the column's exact median over the whole table."""
+    """Infinities become null, nulls become the column's exact median over the whole table.
+
+    One counting pass finds the columns that have anything to fill; only those get a
+    median and a replacement expression.
+    """
     def bounded(c):
         x = F.col(c).cast("double")
         return F.when(F.abs(x) < F.lit(float("inf")), x)   # false for +-inf and for NaN
 
-    finite = df.withColumns({c: bounded(c) for c in cols})
-    medians = exact_medians(finite, cols)
+    seen = df.agg(F.count(F.lit(1)).alias("_all"),
+                  *[F.count(bounded(c)).alias(str(i)) for i, c in enumerate(cols)]).first()
+    gaps = [c for i, c in enumerate(cols) if seen[str(i)] < seen["_all"]]
+    finite = df.withColumns({c: bounded(c) if c in gaps else F.col(c).cast("double") for c in cols})
+    if not gaps:
+        return finite
+    medians = exact_medians(finite, gaps)
     return finite.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items()
                                if m is not None})
 

@@ -1,3 +1,3 @@
 from .reports import (  # noqa: F401
-    advanced_report, dataset_table, merge_report, run_all_datasets, run_bundle,
+    advanced_report, clustered_lab, dataset_table, merge_report, run_all_datasets, run_bundle,
 )

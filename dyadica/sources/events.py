@@ -69,7 +69,7 @@ def raw_layout(trials: DataFrame, layout: str) -> DataFrame:
                  (1 - F.col("choice")).alias("leftCorrect")]
     elif layout == "framing":
         names = [f"sequences_ {i}" for i in range(1, 2 * ITEMS + 1)]
-        extra = [F.col("choice").alias("responseLeft")]
+        extra = [F.col("choice").alias("responseLeft"), F.col("subject")]
     else:
         raise ValueError(f"unknown layout {layout!r}")
     items = [F.col(c).alias(n) for c, n in zip(LEFT + RIGHT, names)]
