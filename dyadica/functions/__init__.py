@@ -1,5 +1,5 @@
 from .sequence import (  # noqa: F401
-    ITEMS, LEFT, RIGHT, PAIR_FEATURES, as_cols, calibration_gap, complexity, ev,
+    ITEMS, LEFT, RIGHT, PAIR_FEATURES, calibration_gap, complexity, ev,
     interaction_terms, is_correct, items_mean, leaky_accumulate, leaky_choice,
     normative_choice, pair_diff_entropy, pair_diff_spread, pair_differences,
     pair_winner_balance, sequence_steps, side_mean, side_variance, sigmoid, stat_contrasts,

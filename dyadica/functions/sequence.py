@@ -1,14 +1,14 @@
 """Per-trial expressions over the sixteen item columns.
 
-Everything here is a plain Column built by unrolling over the eight positions, so a
-whole feature set stays inside one whole-stage-codegen span and needs no shuffle.
+Everything here is a plain Column unrolled over the eight positions, so a whole feature
+set stays inside generated code and needs no shuffle. The unrolled text is built from
+column names and parsed once (``F.expr``), which costs one call to the JVM instead of
+hundreds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add, mul
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,30 +19,29 @@ RIGHT = [f"R{i}" for i in range(1, ITEMS + 1)]
 PAIR_FEATURES = ["pair_diff_std", "pair_diff_max", "pair_diff_min",
                  "pair_winner_balance", "pair_diff_entropy"]
 
-Cols = Sequence[Column | str]
+Names = Sequence[str]
 
 
-def as_cols(cols: Cols) -> list[Column]:
-    return [F.col(f"`{c}`") if isinstance(c, str) else c for c in cols]
+def _quoted(names: Names) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
-def _total(terms) -> Column:
-    return reduce(add, terms)
+def _plus(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
-def _present(cols: list[Column]) -> Column:
-    return _total(F.when(c.isNotNull(), 1).otherwise(0) for c in cols)
+def _present(names: Names) -> str:
+    return _plus(f"if({c} is null, 0, 1)" for c in _quoted(names))
 
 
-def _mean_of_present(cols: list[Column]) -> Column:
-    total = _total(F.coalesce(c, F.lit(0.0)) for c in cols)
-    return total / F.nullif(_present(cols), F.lit(0))
+def _mean_of_present(names: Names) -> str:
+    return f"({_plus(f'coalesce({c}, 0D)' for c in _quoted(names))} / nullif({_present(names)}, 0))"
 
 
-def ev(left: Cols = LEFT, right: Cols = RIGHT) -> dict[str, Column]:
+def ev(left: Names = LEFT, right: Names = RIGHT) -> dict[str, Column]:
     """Expected value of each side (missing items are skipped) and the difference."""
-    ev_left, ev_right = _mean_of_present(as_cols(left)), _mean_of_present(as_cols(right))
-    return {"EV_left": ev_left, "EV_right": ev_right, "EV_diff": ev_left - ev_right}
+    l, r = _mean_of_present(left), _mean_of_present(right)
+    return {"EV_left": F.expr(l), "EV_right": F.expr(r), "EV_diff": F.expr(f"{l} - {r}")}
 
 
 def normative_choice(ev_left: Column, ev_right: Column) -> Column:
@@ -61,13 +60,13 @@ def tie_correct(mean_left: Column, mean_right: Column, choice: Column) -> Column
             .otherwise(1))
 
 
-def items_mean(left: Cols = LEFT, right: Cols = RIGHT) -> Column:
+def items_mean(left: Names = LEFT, right: Names = RIGHT) -> Column:
     """Mean of all items that are present."""
-    return _mean_of_present(as_cols(left) + as_cols(right))
+    return F.expr(_mean_of_present([*left, *right]))
 
 
-def complexity(ev_diff: Column, left: Cols = LEFT, right: Cols = RIGHT, mean: Column | None = None,
-               digits: int | None = 6) -> dict[str, Column]:
+def complexity(ev_diff: str = "EV_diff", left: Names = LEFT, right: Names = RIGHT,
+               mean: str | None = None, digits: int | None = 6) -> dict[str, Column]:
     """Closeness of the two sides plus the sample spread of all items (larger = harder).
 
     ``mean`` may name a column that already holds ``items_mean``. ``complexity`` is
@@ -75,65 +74,59 @@ def complexity(ev_diff: Column, left: Cols = LEFT, right: Cols = RIGHT, mean: Co
     floating-point sum; ``digits=None`` keeps the raw value. (``rint`` of the scaled
     value is plain double work, where ``round`` goes through decimals.)
     """
-    items = as_cols(left) + as_cols(right)
-    mean = items_mean(left, right) if mean is None else mean
-    squares = _total(F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in items)
-    spread = F.sqrt(squares / F.nullif(_present(items) - 1, F.lit(0)))
-    closeness = -F.abs(ev_diff)
-    score = closeness + spread
+    items = [*left, *right]
+    mean = f"`{mean}`" if mean else _mean_of_present(items)
+    squares = _plus(f"coalesce(({c} - {mean}) * ({c} - {mean}), 0D)" for c in _quoted(items))
+    spread = f"sqrt({squares} / nullif({_present(items)} - 1, 0))"
+    score = f"(-abs(`{ev_diff}`) + {spread})"
     if digits is not None:
-        scale = 10.0 ** digits
-        score = F.rint(score * scale) / scale
-    return {"complexity_diff": closeness, "complexity_sd": spread, "complexity": score}
+        score = f"rint({score} * 1e{digits}D) / 1e{digits}D"
+    return {"complexity_diff": -F.abs(F.col(ev_diff)), "complexity_sd": F.expr(spread),
+            "complexity": F.expr(score)}
 
 
-def pair_differences(left: Cols = LEFT, right: Cols = RIGHT) -> list[Column]:
+def pair_differences(left: Names = LEFT, right: Names = RIGHT) -> list[Column]:
     """The eight item differences, left minus right."""
-    return [l - r for l, r in zip(as_cols(left), as_cols(right))]
+    return [F.col(l) - F.col(r) for l, r in zip(left, right)]
 
 
-def pair_diff_spread(diffs: Cols | None = None, mean: Column | None = None) -> dict[str, Column]:
-    """Population std, maximum and minimum of the differences; null if any is missing."""
-    diffs = as_cols(diffs) if diffs else pair_differences()
-    total = _total(diffs)
-    mean = total / len(diffs) if mean is None else mean
-    std = F.sqrt(_total((d - mean) * (d - mean) for d in diffs) / len(diffs))
-    complete = mean.isNotNull()
-    return {"pair_diff_std": std,
-            "pair_diff_max": F.when(complete, F.greatest(*diffs)),
-            "pair_diff_min": F.when(complete, F.least(*diffs))}
+def pair_diff_spread(diffs: Names, mean: str) -> dict[str, Column]:
+    """Population std, maximum and minimum of the difference columns; null if any is missing."""
+    d, m = _quoted(diffs), f"`{mean}`"
+    squares = _plus(f"({c} - {m}) * ({c} - {m})" for c in d)
+    return {"pair_diff_std": F.expr(f"sqrt({squares} / {len(d)})"),
+            "pair_diff_max": F.expr(f"if({m} is null, null, greatest({', '.join(d)}))"),
+            "pair_diff_min": F.expr(f"if({m} is null, null, least({', '.join(d)}))")}
 
 
-def pair_winner_balance(diffs: Cols | None = None) -> Column:
+def pair_winner_balance(diffs: Names) -> Column:
     """How many positions left wins minus how many right wins."""
-    return _total(F.when(d > 0, 1).when(d < 0, -1).otherwise(0)
-                  for d in (as_cols(diffs) if diffs else pair_differences()))
+    return F.expr(_plus(f"case when {d} > 0 then 1 when {d} < 0 then -1 else 0 end"
+                        for d in _quoted(diffs)))
 
 
-def pair_diff_entropy(diffs: Cols | None = None) -> Column:
+def pair_diff_entropy(diffs: Names) -> Column:
     """Entropy (nats) of the distinct difference values.
 
     With ``c_i`` the multiplicity of the i-th difference this is
     ``ln(n^n / (c_1 * ... * c_n)) / n``: integer work and one logarithm. Missing
     differences count as one common value.
     """
-    diffs = as_cols(diffs) if diffs else pair_differences()
-    n = len(diffs)
-    same = {(i, j): diffs[i].eqNullSafe(diffs[j]).cast("int")
-            for i in range(n) for j in range(i + 1, n)}
-    counts = [_total([F.lit(1)] + [same[min(i, j), max(i, j)] for j in range(n) if j != i])
+    d, n = _quoted(diffs), len(diffs)
+    counts = [_plus(["1"] + [f"int({d[min(i, j)]} <=> {d[max(i, j)]})" for j in range(n) if j != i])
               for i in range(n)]
-    return F.log(F.lit(float(n ** n)) / reduce(mul, counts)) / n
+    return F.expr(f"ln({float(n ** n)}D / ({' * '.join(counts)})) / {n}")
 
 
-def side_mean(cols: Cols) -> Column:
+def side_mean(names: Names) -> Column:
     """Mean of one side; null when an item is missing."""
-    return _total(as_cols(cols)) / len(cols)
+    return F.expr(f"{_plus(_quoted(names))} / {len(names)}")
 
 
-def side_variance(cols: Cols, mean: Column) -> Column:
-    """Sample variance of one side around its given mean."""
-    return _total((c - mean) * (c - mean) for c in as_cols(cols)) / (len(cols) - 1)
+def side_variance(names: Names, mean: str) -> Column:
+    """Sample variance of one side around the column that holds its mean."""
+    squares = _plus(f"({c} - `{mean}`) * ({c} - `{mean}`)" for c in _quoted(names))
+    return F.expr(f"{squares} / {len(names) - 1}")
 
 
 def stat_contrasts(mean_left: Column, mean_right: Column, var_left: Column, var_right: Column,
@@ -144,21 +137,28 @@ def stat_contrasts(mean_left: Column, mean_right: Column, var_left: Column, var_
             "correct": tie_correct(mean_left, mean_right, choice)}
 
 
-def leaky_accumulate(leak: Column | float, left: Cols = LEFT, right: Cols = RIGHT) -> Column:
+def _leaky_fold(leak: float, left: Names, right: Names) -> str:
+    steps = [f"(`{l}` - `{r}`)" for l, r in zip(left, right)]
+    out = steps[0]
+    for step in steps[1:]:
+        out = f"({float(leak)!r}D * {out} + {step})"
+    return out
+
+
+def leaky_accumulate(leak: float, left: Names = LEFT, right: Names = RIGHT) -> Column:
     """Fold ``acc = leak * acc + (l - r)`` over the positions."""
-    leak = leak if isinstance(leak, Column) else F.lit(float(leak))
-    return reduce(lambda acc, d: leak * acc + d, pair_differences(left, right))
+    return F.expr(_leaky_fold(leak, left, right))
 
 
-def leaky_choice(leak: Column | float, left: Cols = LEFT, right: Cols = RIGHT) -> Column:
+def leaky_choice(leak: float, left: Names = LEFT, right: Names = RIGHT) -> Column:
     """1 (left) when the accumulated evidence is positive; a tie means right."""
-    return F.when(leaky_accumulate(leak, left, right) > 0, 1).otherwise(0)
+    return F.expr(f"if({_leaky_fold(leak, left, right)} > 0, 1, 0)")
 
 
-def sequence_steps(left: Cols = LEFT, right: Cols = RIGHT) -> Column:
+def sequence_steps(left: Names = LEFT, right: Names = RIGHT) -> Column:
     """The trial as an ordered array of (left, right) steps."""
-    return F.array(*[F.struct(l.alias("left"), r.alias("right"))
-                     for l, r in zip(as_cols(left), as_cols(right))])
+    steps = [f"named_struct('left', `{l}`, 'right', `{r}`)" for l, r in zip(left, right)]
+    return F.expr(f"array({', '.join(steps)})")
 
 
 def sigmoid(x: Column, k: Column | float, x0: Column | float) -> Column:

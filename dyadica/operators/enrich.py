@@ -33,8 +33,8 @@ def enrich(trials: DataFrame, choice: str = "choice", digits: int | None = 6) ->
         "_dmean": fx.side_mean(diffs)})
     return shared.withColumns({
         "is_correct": fx.is_correct(F.col(choice), F.col("normative_choice")),
-        **fx.complexity(F.col("EV_diff"), mean=F.col("_mean"), digits=digits),
-        **fx.pair_diff_spread(diffs, F.col("_dmean")),
+        **fx.complexity(mean="_mean", digits=digits),
+        **fx.pair_diff_spread(diffs, "_dmean"),
         "pair_winner_balance": fx.pair_winner_balance(diffs),
         "pair_diff_entropy": fx.pair_diff_entropy(diffs),
     }).drop("_mean", "_dmean", *diffs)
@@ -43,8 +43,8 @@ def enrich(trials: DataFrame, choice: str = "choice", digits: int | None = 6) ->
 def with_stats(trials: DataFrame, choice: str = "choice") -> DataFrame:
     """Add the sequence statistics, again step by step; missing items make them null."""
     out = trials.withColumns({"mean_left": fx.side_mean(LEFT), "mean_right": fx.side_mean(RIGHT)})
-    out = out.withColumns({"var_left": fx.side_variance(LEFT, F.col("mean_left")),
-                           "var_right": fx.side_variance(RIGHT, F.col("mean_right"))})
+    out = out.withColumns({"var_left": fx.side_variance(LEFT, "mean_left"),
+                           "var_right": fx.side_variance(RIGHT, "mean_right")})
     return out.withColumns(fx.stat_contrasts(
         *map(F.col, ["mean_left", "mean_right", "var_left", "var_right", choice])))
 

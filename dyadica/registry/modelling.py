@@ -29,8 +29,8 @@ def standardized(trials):
     return rounded(standardize(rows, STAT_FEATURES).apply(rows), *STAT_FEATURES)
 
 
-_X = ["1", "abs(EV_diff)", "complexity", "abs(EV_diff) * complexity"]
-_GEE_STEP = (["count(*) as n", q6("sum((choice - 0.5) / 0.5)", "t"), q6("sum(1)", "q")]
+_X = ["1::double", "abs(EV_diff)", "complexity", "abs(EV_diff) * complexity"]
+_GEE_STEP = (["count(*) as n", q6("sum((choice - 0.5::double) / 0.5)", "t"), q6("sum(1::double)", "q")]
              + [q6(f"sum(0.5 * {x})", f"s{j}") for j, x in enumerate(_X)]
              + [q6(f"sum({x} * (choice - 0.5))", f"g{j}") for j, x in enumerate(_X)]
              + [q6(f"sum(0.25 * {_X[j]} * {_X[k]})", f"h{j}{k}") for j in range(4) for k in range(j, 4)])

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import ITEMS, LEFT, RIGHT
@@ -18,13 +15,19 @@ USER_STEP_RIGHT = [31, 29, 23, 19, 17, 13, 11, 7]
 FIRST_MODULUS_LEFT, FIRST_MODULUS_RIGHT = 101, 117
 
 
-def _item(event_step: int, user_step: int, modulus: int) -> Column:
-    event, user = F.col("event_id"), F.col("user_id")
-    rest = event % modulus  # squaring the remainder gives the same value and cannot overflow
-    value = 10 + (event * event_step + user * user_step + (rest * rest) % modulus) % 41
-    # ids are present here, so this never takes the 0; it tells the planner items are not null,
+def _item(event_step: int, user_step: int, modulus: int) -> str:
+    # squaring the remainder instead of the id gives the same value and cannot overflow
+    square = f"((event_id % {modulus}) * (event_id % {modulus})) % {modulus}"
+    value = f"10 + (event_id * {event_step} + user_id * {user_step} + {square}) % 41"
+    # ids are present here, so the 0 is never taken; it tells the planner items are not null,
     # which takes the null checks out of all the code generated over them
-    return F.coalesce(value.cast("double"), F.lit(0.0))
+    return f"coalesce(double({value}), 0D)"
+
+
+_LEFT_ITEMS = [f"{_item(EVENT_STEP_LEFT[i], USER_STEP_LEFT[i], FIRST_MODULUS_LEFT + 2 * i)} as {LEFT[i]}"
+               for i in range(ITEMS)]
+_RIGHT_ITEMS = [f"{_item(EVENT_STEP_RIGHT[i], USER_STEP_RIGHT[i], FIRST_MODULUS_RIGHT + 2 * i)} as {RIGHT[i]}"
+                for i in range(ITEMS)]
 
 
 def trials_from_events(events: DataFrame) -> DataFrame:
@@ -32,22 +35,16 @@ def trials_from_events(events: DataFrame) -> DataFrame:
 
     An event without id or user identifies no trial.
     """
-    events = events.where(F.col("event_id").isNotNull() & F.col("user_id").isNotNull())
-    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    left = [_item(EVENT_STEP_LEFT[i], USER_STEP_LEFT[i], FIRST_MODULUS_LEFT + 2 * i).alias(LEFT[i])
-            for i in range(ITEMS)]
-    right = [_item(EVENT_STEP_RIGHT[i], USER_STEP_RIGHT[i], FIRST_MODULUS_RIGHT + 2 * i).alias(RIGHT[i])
-             for i in range(ITEMS)]
-    source = (F.when(kind.isin("view", "click"), "lab")
-              .when(kind.isin("purchase", "signup"), "cons").otherwise("framing"))
-    base = events.select(
-        event.alias("trial_id"), user.alias("subject"), source.alias("source"), *left, *right,
-        (1 + (event * 13 + user * 5) % 6).cast("int").alias("confidence"),
-        (event % 2).cast("int").alias("is_diff_mean"),
-        (user % 2).cast("int").alias("flip"),
-        ((event * 7919 + user * 1047) % 161 - 80).alias("_noise"))
-    evidence = reduce(add, map(F.col, LEFT)) - reduce(add, map(F.col, RIGHT)) + F.col("_noise")
-    return base.withColumn("choice", F.when(evidence > 0, 1).otherwise(0)).drop("_noise")
+    base = events.where("event_id is not null and user_id is not null").selectExpr(
+        "event_id as trial_id", "user_id as subject",
+        "case when event_type in ('view', 'click') then 'lab' "
+        "when event_type in ('purchase', 'signup') then 'cons' else 'framing' end as source",
+        *_LEFT_ITEMS, *_RIGHT_ITEMS,
+        "int(1 + (event_id * 13 + user_id * 5) % 6) as confidence",
+        "int(event_id % 2) as is_diff_mean", "int(user_id % 2) as flip",
+        "(event_id * 7919 + user_id * 1047) % 161 - 80 as _noise")
+    evidence = f"{' + '.join(LEFT)} - ({' + '.join(RIGHT)}) + _noise"
+    return base.withColumn("choice", F.expr(f"if({evidence} > 0, 1, 0)")).drop("_noise")
 
 
 def trials_from_tables(spark: SparkSession, folder: str) -> DataFrame:
