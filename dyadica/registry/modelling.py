@@ -29,18 +29,24 @@ def standardized(trials):
     return rounded(standardize(rows, STAT_FEATURES).apply(rows), *STAT_FEATURES)
 
 
-_X = ["1::double", "abs(EV_diff)", "complexity", "abs(EV_diff) * complexity"]
-_GEE_STEP = (["count(*) as n", q6("sum((choice - 0.5::double) / 0.5)", "t"), q6("sum(1::double)", "q")]
-             + [q6(f"sum(0.5 * {x})", f"s{j}") for j, x in enumerate(_X)]
-             + [q6(f"sum({x} * (choice - 0.5))", f"g{j}") for j, x in enumerate(_X)]
-             + [q6(f"sum(0.25 * {_X[j]} * {_X[k]})", f"h{j}{k}") for j in range(4) for k in range(j, 4)])
-
-
-@query("e2_gee_step", sql(
-    f"select cast(subject as varchar) as Subject, {', '.join(_GEE_STEP)} from lab group by subject", "lab"))
+# The step is compared at a point where no sum lands on a rounding tie.
+_BETA = [0.1, 0.02, -0.03, 0.001]
+_X = ["1", "s", "c", "s * c"]
+_ETA = " + ".join(f"{b!r}::double * {x}" for b, x in zip(_BETA, _X))
+_GEE_STEP = (["count(*) as n", q6("sum(e)", "t"), q6("sum(e * e)", "q")]
+             + [q6(f"sum(w * {x})", f"s{j}") for j, x in enumerate(_X)]
+             + [q6(f"sum(w * {x} * e)", f"g{j}") for j, x in enumerate(_X)]
+             + [q6(f"sum(w * w * {_X[j]} * {_X[k]})", f"h{j}{k}") for j in range(4) for k in range(j, 4)])
+
+
+@query("e2_gee_step", sql(f"""
+with x as (select *, abs(EV_diff) as s, complexity as c from lab),
+  m as (select *, 1 / (1 + exp(-({_ETA}))) as mu from x),
+  w as (select *, sqrt(mu * (1 - mu)) as w, (choice - mu) / sqrt(mu * (1 - mu)) as e from m)
+select cast(subject as varchar) as Subject, {', '.join(_GEE_STEP)} from w group by subject""", "lab"))
 def gee_step(trials):
-    """The per-subject sums of the first iteration (all parameters 0)."""
-    sums = fits.gee_subject_sums(fits.gee_design(lab(trials)), [0.0] * 4)
+    """The per-subject sums of one iteration."""
+    sums = fits.gee_subject_sums(fits.gee_design(lab(trials)), _BETA)
     return rounded(sums, *[c for c in sums.columns if c not in ("Subject", "n")])
 
 
