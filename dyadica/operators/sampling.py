@@ -25,11 +25,12 @@ def stratified_split(df: DataFrame, y: str, test_share: float = TEST_SHARE, seed
     """Add ``split`` (test/train): the first share of each class in shuffled order is test."""
     key = hash_order(id_col, seed)
     cuts = rank_cuts(df, y, key, lambda n: [math.floor(test_share * n + 0.5)])
-    test = [(F.col(y) == F.lit(g)) & (key <= F.lit(cut)) for g, (cut,) in cuts.items()]
     label = F.lit("train")
-    for condition in test:
-        label = F.when(condition, "test").otherwise(label)
-    return df.withColumn(name, F.when(F.col(y).isNotNull(), label))
+    for g, (cut,) in cuts.items():
+        label = F.when((F.col(y) == F.lit(g)) & (F.col("_key") <= F.lit(cut)), "test").otherwise(label)
+    # the key is a column of its own step, so it is hashed once per row
+    return (df.withColumn("_key", key)
+            .withColumn(name, F.when(F.col(y).isNotNull(), label)).drop("_key"))
 
 
 def _blocks(n: int, k: int) -> list[int]:
@@ -38,18 +39,20 @@ def _blocks(n: int, k: int) -> list[int]:
     return [size * i + min(i, extra) for i in range(1, k)]
 
 
-def _fold_column(df: DataFrame, y: str, key: Column, k: int) -> Column:
+def _with_folds(df: DataFrame, y: str, key: Column, k: int, name: str) -> DataFrame:
+    """Label each class's rows with the number of cuts their key lies beyond."""
     cuts = rank_cuts(df, y, key, lambda n: _blocks(n, k))
-    per_class = [F.when(F.col(y) == F.lit(g),
-                        reduce(add, [F.when(key > F.lit(c), 1).otherwise(0) for c in found], F.lit(0)))
-                 for g, found in cuts.items()]
-    return F.coalesce(*per_class) if per_class else F.lit(None).cast("int")
+    per_class = [F.when(F.col(y) == F.lit(g), reduce(
+        add, [F.when(F.col("_key") > F.lit(c), 1).otherwise(0) for c in found], F.lit(0)))
+        for g, found in cuts.items()]
+    fold = F.coalesce(*per_class) if per_class else F.lit(None).cast("int")
+    return df.withColumn("_key", key).withColumn(name, fold).drop("_key")
 
 
 def stratified_folds(df: DataFrame, y: str, k: int = FOLDS, seed: int = SEED_MAIN,
                      id_col: str = "trial_id", name: str = "fold") -> DataFrame:
     """Add a fold id 0..k-1: equal blocks of each class in shuffled order."""
-    return df.withColumn(name, _fold_column(df, y, hash_order(id_col, seed), k))
+    return _with_folds(df, y, hash_order(id_col, seed), k, name)
 
 
 def ordered_folds(df: DataFrame, y: str, source: str, sources: list[str], k: int = FOLDS,
@@ -57,7 +60,7 @@ def ordered_folds(df: DataFrame, y: str, source: str, sources: list[str], k: int
     """Add unshuffled folds: equal blocks of each class in stacked order (source, then row)."""
     rank = reduce(lambda c, iv: c.when(F.col(source) == iv[1], f"{iv[0]:x}"), enumerate(sources), F)
     key = F.concat(rank.otherwise("f"), sortable_id(F.col(id_col)))
-    return df.withColumn(name, _fold_column(df, y, key, k))
+    return _with_folds(df, y, key, k, name)
 
 
 def infer_subject(df: DataFrame, per: int | None = None, id_col: str = "trial_id",
