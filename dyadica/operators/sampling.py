@@ -39,9 +39,13 @@ def _blocks(n: int, k: int) -> list[int]:
     return [size * i + min(i, extra) for i in range(1, k)]
 
 
-def _with_folds(df: DataFrame, y: str, key: Column, k: int, name: str) -> DataFrame:
-    """Label each class's rows with the number of cuts their key lies beyond."""
-    cuts = rank_cuts(df, y, key, lambda n: _blocks(n, k))
+def _with_folds(df: DataFrame, y: str, key: Column, k: int, name: str,
+                among: DataFrame | None = None) -> DataFrame:
+    """Label each class's rows with the number of cuts their key lies beyond.
+
+    The cuts are laid over ``among`` (by default all rows).
+    """
+    cuts = rank_cuts(df if among is None else among, y, key, lambda n: _blocks(n, k))
     per_class = [F.when(F.col(y) == F.lit(g), reduce(
         add, [F.when(F.col("_key") > F.lit(c), 1).otherwise(0) for c in found], F.lit(0)))
         for g, found in cuts.items()]
@@ -55,6 +59,14 @@ def stratified_folds(df: DataFrame, y: str, k: int = FOLDS, seed: int = SEED_MAI
     return _with_folds(df, y, hash_order(id_col, seed), k, name)
 
 
+def train_folds(df: DataFrame, y: str, k: int = FOLDS, seed: int = SEED_MAIN, id_col: str = "trial_id",
+                split: str = "split", name: str = "fold") -> DataFrame:
+    """Stratified folds over the train rows of a split; every other row gets fold -1."""
+    train = split_members(df, "train", split)
+    folded = _with_folds(df, y, hash_order(id_col, seed), k, name, among=train)
+    return folded.withColumn(name, F.when(F.col(split) == "train", F.col(name)).otherwise(-1))
+
+
 def ordered_folds(df: DataFrame, y: str, source: str, sources: list[str], k: int = FOLDS,
                   id_col: str = "trial_id", name: str = "fold") -> DataFrame:
     """Add unshuffled folds: equal blocks of each class in stacked order (source, then row)."""

@@ -132,21 +132,15 @@ def paired_ttest_gap(enriched: DataFrame, subject: str = "subject", min_subjects
 
 
 def fold_ci(scores: DataFrame, by: str = "model", score: str = "score", alpha: float = 0.95) -> DataFrame:
-    """Mean and t-interval of fold scores per model.
-
-    The quantile depends only on the number of folds, of which there are few.
-    """
-    table = scores.groupBy(by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"),
-                                   F.stddev_samp(score).alias("_sd"))
-    sizes = [r["n"] for r in table.select("n").distinct().collect()]
-    margin = F.lit(0.0)
-    for n in sizes:
-        if n > 1:
-            margin = F.when(F.col("n") == n, t_quantile((1 + alpha) / 2, n - 1)
-                            * F.col("_sd") / math.sqrt(n)).otherwise(margin)
-    return (table.withColumn("margin", margin)
-            .select(by, "n", "mean", "margin", (F.col("mean") - F.col("margin")).alias("low"),
-                    (F.col("mean") + F.col("margin")).alias("high")))
+    """Mean and t-interval of fold scores, one row per model (a single fold has margin 0)."""
+    out = []
+    for r in (scores.groupBy(by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"),
+                                     F.stddev_samp(score).alias("sd")).collect()):
+        n, mean = r["n"], r["mean"]
+        margin = t_quantile((1 + alpha) / 2, n - 1) * r["sd"] / math.sqrt(n) if n > 1 else 0.0
+        out.append((r[by], n, mean, margin, mean - margin, mean + margin))
+    return scores.sparkSession.createDataFrame(
+        out, f"{by} string, n long, mean double, margin double, low double, high double")
 
 
 def cluster_profile(df: DataFrame, cluster: str = "cluster", min_rows: int = 10) -> DataFrame:
