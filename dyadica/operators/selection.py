@@ -159,7 +159,7 @@ def exact_medians(df: DataFrame, cols: list[str], by: str | None = None) -> dict
 def sortable_id(col: Column) -> Column:
     """A 64-bit integer as 16 hex digits that sort like the numbers do."""
     flipped = col.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    return F.lpad(F.hex(flipped), 16, "0")
+    return F.lower(F.lpad(F.hex(flipped), 16, "0"))
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -173,39 +173,40 @@ def rank_cuts(df: DataFrame, by: str, key: Column, positions: Callable[[int], li
     """Key values that cut each group's sorted rows after given numbers of rows.
 
     ``positions(n)`` lists row counts for a group of ``n``; the returned key for ``p``
-    is the p-th smallest (``""`` for 0). The search descends the key's hex digits:
-    each round counts rows per next ``width`` digits inside the few prefixes that
-    still hold a cut, until such a prefix holds at most ``leaf`` rows. Keys are
-    assumed to be unique and in lower/upper-case hex or digits of equal length.
+    is the p-th smallest (``""`` for 0). Keys are unique lower-case hex strings of one
+    length. The search descends their digits: each round counts rows per next ``width``
+    digits inside the few prefixes that still hold a cut, until such a prefix holds at
+    most ``leaf`` rows. Digits common to all keys under a prefix are skipped.
     """
     keyed = df.select(F.col(by).alias("g"), key.alias("key"))
     groups: dict = {}
+    length = 0
     for r in (keyed.groupBy("g", F.substring("key", 1, width).alias("p"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-              .collect()):
-        if r["g"] is None or r["p"] is None:
-            continue
-        groups.setdefault(r["g"], []).append((r["p"], r["n"], r["lo"], r["hi"]))
+              .agg(F.max(F.length("key")).alias("length"), *_bucket_measures(F.lit(1))).collect()):
+        if r["g"] is not None and r["p"] is not None:
+            groups.setdefault(r["g"], []).append((r["p"], r["n"], r["lo"], r["hi"]))
+            length = max(length, r["length"])
     wanted = {g: positions(sum(n for _, n, _, _ in buckets)) for g, buckets in groups.items()}
     cuts: dict = {(g, p): "" for g, ps in wanted.items() for p in ps}
     pending: list[tuple] = []  # (group, position, rank under the prefix, prefix, rows under it)
 
-    def descend(g, position, rank, buckets):
-        """Find the bucket that holds the rank; settle it at once where that is possible."""
-        for prefix, n, lo, hi in sorted(buckets):
-            if rank > n:
-                rank -= n
-            elif rank == n or lo == hi:
-                cuts[g, position] = hi
-                return
-            else:
-                pending.append((g, position, rank, commonprefix([lo, hi]), n))
+    def descend(g, position, rank, base, buckets):
+        """Move to the bucket that holds the rank and to all digits its keys share."""
+        digits = min(_TAIL, length - len(base))
+        for _, n, lo, hi in sorted(buckets):
+            if rank <= n:
+                prefix = base + commonprefix([f"{lo:0{digits}x}", f"{hi:0{digits}x}"])
+                if len(prefix) == length:
+                    cuts[g, position] = prefix
+                else:
+                    pending.append((g, position, rank, prefix, n))
                 return
+            rank -= n
 
     for g, ps in wanted.items():
         for p in ps:
             if p > 0:
-                descend(g, p, p, groups[g])
+                descend(g, p, p, "", groups[g])
     while pending:
         shallow = [t for t in pending if t[4] <= leaf]
         if shallow:
@@ -216,10 +217,23 @@ def rank_cuts(df: DataFrame, by: str, key: Column, positions: Callable[[int], li
         if deep:
             below = _buckets_under(keyed, {(t[0], t[3]) for t in deep}, width)
             for g, p, rank, prefix, _ in deep:
-                descend(g, p, rank, below[g, prefix])
+                descend(g, p, rank, prefix, below[g, prefix])
     return {g: [cuts[g, p] for p in ps] for g, ps in wanted.items()}
 
 
+_TAIL = 15  # hex digits that fit a long
+
+
+def _bucket_measures(start: Column) -> list[Column]:
+    """Rows of a bucket and the range of its keys' next digits.
+
+    The range is taken over integers: a minimum of strings has no hash aggregate and
+    would sort every row.
+    """
+    tail = F.conv(F.substring(F.col("key"), start, F.lit(_TAIL)), 16, 10).cast("long")
+    return [F.count(F.lit(1)).alias("n"), F.min(tail).alias("lo"), F.max(tail).alias("hi")]
+
+
 def _place_index(places: list[tuple]) -> Column:
     """Index of the (group, prefix) place a row lies in; null when in none."""
     branches = [F.when((F.col("g") == F.lit(g)) & F.col("key").startswith(p), i)
@@ -228,13 +242,12 @@ def _place_index(places: list[tuple]) -> Column:
 
 
 def _buckets_under(keyed: DataFrame, places: set, width: int) -> dict:
-    """Rows, first and last key per next ``width`` digits under each place."""
+    """Measures per next ``width`` digits under each place."""
     ordered = sorted(places, key=str)
-    starts = F.element_at(F.array(*[F.lit(len(p) + 1) for _, p in ordered]), F.col("i") + 1)
-    rows = (keyed.withColumn("i", _place_index(ordered))
-            .groupBy("i", F.substring(F.col("key"), starts, F.lit(width)).alias("p"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-            .collect())
+    start = F.element_at(F.array(*[F.lit(len(p) + 1) for _, p in ordered]), F.col("i") + 1)
+    rows = (keyed.withColumn("i", _place_index(ordered)).withColumn("start", start)
+            .groupBy("i", F.substring(F.col("key"), F.col("start"), F.lit(width)).alias("p"))
+            .agg(*_bucket_measures(F.col("start"))).collect())
     out: dict = {place: [] for place in ordered}
     for r in rows:
         if r["i"] is not None:          # rows elsewhere fold into the one null group
