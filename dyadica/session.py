@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,23 +45,9 @@ def build_session(app: str = "dyadica", master: str | None = None,
     return builder.getOrCreate()
 
 
-@functools.lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="dyadica-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
-
-    A temporary folder of this machine is used only where the setting is absent
-    *and* the session is a single-machine one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def use_checkpoints(spark: SparkSession) -> None:
