@@ -2,11 +2,20 @@
 
 from .exact import OP1_SQL, op1_exact_dedup
 from .mixing import OP2_SQL, op2_mix_sources
+from .packing import op10_pack
 from .sharding import op6_kd_shards
+from .simhash import op9_simhash
+from .toxicity import op8_toxicity
+from .urls import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op4_url_filter": op4_url_filter,
     "op6_kd_shards": op6_kd_shards,
+    "op8_toxicity": op8_toxicity,
+    "op9_simhash": op9_simhash,
+    "op10_pack": op10_pack,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL,
+           "op4_url_filter": OP4_SQL}
