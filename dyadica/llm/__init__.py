@@ -1,21 +1,26 @@
 """Operators of a training-data pipeline, one module each, and the queries that apply them to the tables."""
 
 from .exact import OP1_SQL, op1_exact_dedup
+from .licences import op5_licence_scan
 from .mixing import OP2_SQL, op2_mix_sources
 from .packing import op10_pack
 from .sharding import op6_kd_shards
 from .simhash import op9_simhash
+from .substrings import op3_substrings
 from .toxicity import op8_toxicity
 from .urls import OP4_SQL, op4_url_filter
+from .vectors import op7_vector_links
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_substrings": op3_substrings,
     "op4_url_filter": op4_url_filter,
+    "op5_licence_scan": op5_licence_scan,
     "op6_kd_shards": op6_kd_shards,
+    "op7_vector_links": op7_vector_links,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_pack": op10_pack,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL,
-           "op4_url_filter": OP4_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op4_url_filter": OP4_SQL}
