@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,11 @@ from .common import pinned, table
 
 LENGTH, WINDOWS, FAN_IN, END = 2048, 64, 16, 1
 _CACHED = 600_000
+# Fixed values of the byte-level scheme: the pattern of its words, and the letters that spell bytes (bytes
+# without a visible character of their own get the letters from 256 on).
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _PIECE = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, task long, ids binary")
 
@@ -51,10 +57,27 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        from array import array
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        self.word: dict[str, bytes] = {}
+        import regex
+        self.words = regex.compile(_WORDS)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of one stretch: the tokenizer's model on each of its words, which are looked up as well."""
+        words = [stretch] if stretch[0] == " " and stretch[1:].isalpha() else self.words.findall(stretch)
+        found = []
+        for word in words:
+            ids = self.word.get(word)
+            if ids is None:
+                spelled = word.encode().decode("latin-1").translate(_SPELLED)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+                if len(self.word) >= _CACHED // 2:
+                    self.word = {}
+                self.word[word] = ids
+            found.append(ids)
+        return b"".join(found)
 
     def _stretches(self, text: str) -> list[str] | None:
         if re.search(r"[^\S \n]", text) or any(s in text for s in self.special):
@@ -70,9 +93,9 @@ class Encoder:
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > _CACHED:
             self.known, new = {}, list(wanted)
-        self.known.update(zip(new, self._whole(new)))
+        self.known.update((w, self._stretch(w) if w else b"") for w in new)
         look = self.known.__getitem__
-        return [b"".join(map(look, c)) if c is not None else self._whole([t])[0] for c, t in zip(cut, texts)]
+        return [b"".join(map(look, c)) if c is not None else self._whole(t) for c, t in zip(cut, texts)]
 
 
 class Packer:
