@@ -126,6 +126,8 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 by_class[int(toxic > 0)].update(terms(fold(text).split()))
             keys = list(by_class[0].keys() | by_class[1].keys())
+            if not keys:
+                continue
             yield pd.DataFrame({"term": keys, "clean": [by_class[0][k] for k in keys],
                                 "toxic": [by_class[1][k] for k in keys]})
 

@@ -98,7 +98,8 @@ def build_cascade(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Cas
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = {k for h, p in zip(batch["host"], batch["path"]) for k in candidates(h, p, lengths)}
-            yield pd.DataFrame({"key": list(found)})
+            if found:
+                yield pd.DataFrame({"key": list(found)})
 
     universe = urls.mapInPandas(keys, "key string").distinct()
     size = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
@@ -110,7 +111,9 @@ def build_cascade(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Cas
 
         def passing(batches: Iterator[pd.DataFrame], first=first) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch[[k in first and k not in known for k in batch["key"]]]
+                kept = [k for k in batch["key"] if k in first and k not in known]
+                if kept:
+                    yield pd.DataFrame({"key": kept})
 
         wrong = universe.mapInPandas(passing, "key string").limit(bound + 1).collect()
         if len(wrong) <= bound:
@@ -134,6 +137,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             rule = [next((k for k in candidates(h, p, lengths) if k in listed), None)
                     for h, p in zip(batch["host"], batch["path"])]
             verdict = [default if r is None else "block" if r in blocked else "allow" for r in rule]
