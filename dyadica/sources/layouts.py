@@ -28,32 +28,46 @@ def strip_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def trailing_index(name: str) -> int:
-    """The number a column name ends with, blanks ignored; -1 when there is none."""
-    found = re.search(r"(\d+)$", re.sub(r"\s+", "", name))
-    return int(found.group(1)) if found else -1
+# How the layouts spell their item columns, blanks left out. ``side`` tells left from right;
+# a layout without it counts through both sides, left first.
+_SPELLINGS = {
+    "lab": (r"sequence(?P<side>Left|Right)_(?P<at>\d+)", r"sequence(?P<side>A|B)(?P<at>\d+)"),
+    "cons": (r"sequence(?P<side>Left|Right)_(?P<at>\d+)",),
+    "framing": (r"(?i:sequences?)_?(?P<at>\d+)",),
+}
 
 
-def _numbered(columns: list[str], pattern: str) -> list[str]:
-    return sorted((c for c in columns if re.match(pattern, c)), key=trailing_index)
+def _item_map(columns: list[str], spelling: str) -> dict[tuple[str, int], str]:
+    """{(side, position): column} of the columns that the spelling fits."""
+    found: dict[tuple[str, int], str] = {}
+    for column in columns:
+        match = re.fullmatch(spelling, "".join(column.split()))
+        if not match:
+            continue
+        at, side = int(match["at"]), match.groupdict().get("side")
+        if side is None:
+            side, at = ("left", at) if at <= ITEMS else ("right", at - ITEMS)
+        else:
+            side = "left" if side in ("Left", "A") else "right"
+        if (side, at) in found:
+            raise ValueError(f"{column!r} and {found[side, at]!r} are both item {at} of the {side} side")
+        found[side, at] = column
+    return found
 
 
 def resolve_sequences(columns: list[str], layout: str) -> tuple[list[str], list[str]]:
-    """The eight left and eight right item columns of a layout, in position order."""
-    if layout == "framing":
-        items = sorted((c for c in columns if "sequence" in c.lower() and trailing_index(c) > 0),
-                       key=trailing_index)[:2 * ITEMS]
-        left, right = items[:ITEMS], items[ITEMS:]
-    else:
-        left = _numbered(columns, r"^sequenceLeft_\s*\d+\s*$")
-        right = _numbered(columns, r"^sequenceRight_\s*\d+\s*$")
-        if layout == "lab" and not len(left) == len(right) == ITEMS:
-            left = _numbered(columns, r"^sequenceA\d+$")
-            right = _numbered(columns, r"^sequenceB\d+$")
-    if len(left) != ITEMS or len(right) != ITEMS:
-        raise ValueError(f"{layout}: expected {ITEMS}+{ITEMS} item columns, "
-                         f"found {len(left)}+{len(right)}")
-    return left, right
+    """The eight left and eight right item columns of a layout, in position order.
+
+    Exactly the positions 1 to 8 of both sides must be there; anything else is an error.
+    """
+    wanted = [(side, at) for side in ("left", "right") for at in range(1, ITEMS + 1)]
+    maps = [_item_map(columns, spelling) for spelling in _SPELLINGS[layout]]
+    for found in maps:
+        if set(found) == set(wanted):
+            names = [found[key] for key in wanted]
+            return names[:ITEMS], names[ITEMS:]
+    raise ValueError(f"{layout}: expected items 1 to {ITEMS} of both sides, found "
+                     f"{[sorted(found) for found in maps if found]}")
 
 
 def resolve_response(columns: list[str], layout: str) -> Column:
@@ -93,8 +107,13 @@ def read_trials(spark: SparkSession, path: str, layout: str, fmt: str = "csv") -
     if fmt != "csv":
         return nan_to_null(spark.read.format(fmt).load(path))
     header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    schema = T.StructType([T.StructField(c, _column_type(c)) for c in header])
-    return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
+    # Whole numbers are read as doubles first: exports write them as 1.0 as soon as a value is missing.
+    # Without enforceSchema a file whose header differs from the schema raises instead of being misread.
+    kinds = {c: _column_type(c) for c in header}
+    schema = T.StructType([T.StructField(c, T.DoubleType() if isinstance(k, (T.IntegerType, T.LongType)) else k)
+                           for c, k in kinds.items()])
+    raw = nan_to_null(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
+    return raw.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
 
 
 def add_trial_id(df: DataFrame) -> DataFrame:
@@ -116,5 +135,5 @@ def canonical_trials(df: DataFrame, layout: str) -> DataFrame:
     response = resolve_response(df.columns, layout)
     used = set(LAYOUTS[layout][1])
     rest = [F.col(f"`{c}`") for c in df.columns if c not in items and c not in used]
-    return df.select(*rest, *[F.col(f"`{c}`").cast("double").alias(a) for c, a in items.items()],
+    return df.select(*rest, *[F.col(f"`{c}`").try_cast("double").alias(a) for c, a in items.items()],
                      response.alias("choice"))

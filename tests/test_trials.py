@@ -154,6 +154,19 @@ def test_layout_resolution():
     assert layouts.resolve_sequences(sides, "lab")[0][0] == "sequenceLeft_1"
     with pytest.raises(ValueError):
         layouts.resolve_sequences(sides[:-1], "cons")
+    with pytest.raises(ValueError):
+        layouts.resolve_sequences([f"sequences_ {i}" for i in range(1, 19)], "framing")
+    letters = [f"sequenceB{i}" for i in range(1, 9)] + [f"sequenceA{i}" for i in range(1, 9)]
+    assert layouts.resolve_sequences(letters, "lab")[0] == letters[8:]
+    with pytest.raises(ValueError):
+        layouts.resolve_sequences([*sides, "sequenceLeft_ 1"], "cons")
+
+
+def test_numbers_written_as_decimals(spark, tmp_path):
+    names = [f"sequenceLeft_{i}" for i in range(1, 9)] + [f"sequenceRight_{i}" for i in range(1, 9)]
+    (tmp_path / "a.csv").write_text(",".join([*names, "responseLeft"]) + "\n" + ",".join(["2.0"] * 15 + ["n/a", "1.0"]) + "\n")
+    row = layouts.canonical_trials(layouts.read_trials(spark, str(tmp_path), "cons"), "cons").first()
+    assert (row["L1"], row["R8"], row["choice"]) == (2.0, None, 1)
 
 
 def test_response_resolution(spark):
