@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash_dedup", simhash_dedup),
           ("mixing", mixing), ("packing", packing)]
-#: Packing depends on the order of rows in files, which SQL cannot express; tests hold each stage against brute force.
+#: Packing depends on the order of rows in files, which SQL cannot express; the operators have tests of their own.
 ORACLE_SQL = None
 
 
