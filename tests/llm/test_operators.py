@@ -113,9 +113,28 @@ def test_substrings(docs, none):
         want.append((i, len(b), sum(cover), spans, hashlib.sha256(left).hexdigest()))
     got = [tuple(r) for r in substrings.repeated_substrings(docs).drop("kept").collect()]
     assert Counter(got) == Counter(want) and sum(w[2] for w in want) > len(LONG)
+    alone = substrings.repeated_substrings(docs, crowded=0).drop("kept").collect()  # every string on its own
+    assert Counter(tuple(r) for r in alone) == Counter(want)
     assert substrings.repeated_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 500, 1 << 20])
+def test_string_minima(chunk):
+    rng = np.random.default_rng(2)
+    shared = [bytes(rng.integers(97, 110, 32, dtype=np.uint8)) for _ in range(4)]
+    segments = {(a, bytes(rng.integers(97, 99, 1 + a, dtype=np.uint8)) + shared[a] + bytes(rng.integers(97, 99, 18, dtype=np.uint8)) + b"ends"[:a])
+                for a in range(4) for _ in range(200)} | {(9, b"x" * 60)}
+    segments = sorted(segments)
+    least = rng.permutation(len(segments))
+    want: dict = {}
+    for (a, s), d in zip(segments, least):
+        for i in range(len(s) - 49):
+            want[a, s[i:i + 50]] = min(int(d), want.get((a, s[i:i + 50]), 10 ** 9))
+    minima, base = substrings.string_minima([a.to_bytes(4, "little") + s for a, s in segments], least, chunk)
+    for k, (a, s) in enumerate(segments):
+        assert minima[base[k]:base[k + 1]].tolist() == [want[a, s[i:i + 50]] for i in range(len(s) - 49)]
+
+
 def test_intervals():
     rng = np.random.default_rng(1)
     text = np.concatenate([np.tile(rng.integers(1, 4, 70), 3), rng.integers(1, 3, 300), [0]]).astype(np.int16)
