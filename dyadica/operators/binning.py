@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scalars import confidence_norm
-from .selection import exact_medians, exact_quantiles
+from .selection import exact_medians, exact_quantiles, quantile_table
 
 
 def exact_median(df: DataFrame, col: str, approx: bool = False) -> float | None:
@@ -34,33 +34,32 @@ def _bin_of(x: Column, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), reduce(add, inner, F.lit(1)))
 
 
-def quantile_edges(df: DataFrame, col: str, q: int, by: str | None = None) -> dict:
-    """Distinct quantile edges per group (``{None: [...]}`` without ``by``)."""
-    probs = [i / q for i in range(q + 1)]
-    found = exact_quantiles(df, {col: probs}, by)
-    return {g: sorted({e for e in row[col] if e is not None}) for g, row in found.items()}
+def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
+    """Distinct quantile edges of a column."""
+    found = exact_quantiles(df, {col: [i / q for i in range(q + 1)]})[None][col]
+    return sorted({e for e in found if e is not None})
 
 
 def quantile_bin(df: DataFrame, col: str, q: int, by: str | None = None,
                  bounds: bool = False) -> DataFrame:
     """Add ``bin`` (1-based; null when the column is constant), with ``lo``/``hi`` if asked.
 
-    Repeated edges are dropped, so there may be fewer than ``q`` bins.
+    Repeated edges are dropped, so there may be fewer than ``q`` bins. Without ``by`` the edges are literals;
+    with it they are a table joined by group, so the plan does not grow with the groups.
     """
     x = F.col(col)
-    numbers, lows, highs = [], [], []
-    for group, edges in quantile_edges(df, col, q, by).items():
-        here = F.lit(True) if by is None else F.col(by) == F.lit(group)
-        numbers.append(F.when(here, _bin_of(x, edges)))
-        if bounds and len(edges) > 1:
-            table = F.array(*map(F.lit, edges))
-            lows.append(F.when(here, F.get(table, F.col("bin") - 1)))
-            highs.append(F.when(here, F.get(table, F.col("bin"))))
-    out = df.withColumn("bin", F.coalesce(*numbers) if numbers else F.lit(None).cast("int"))
+    if by is None:
+        edges = quantile_edges(df, col, q)
+        out = df.withColumn("_edges", F.array(*map(F.lit, edges)).cast("array<double>")).withColumn("bin", _bin_of(x, edges))
+    else:
+        table = quantile_table(df, col, [i / q for i in range(q + 1)], by).select(
+            F.col(by).alias("_by"), F.array_sort(F.array_distinct(F.filter("q", lambda e: e.isNotNull()))).alias("_edges"))
+        inner = F.filter(F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0))), lambda e: e < x)
+        out = df.join(table, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn(
+            "bin", F.when(x.isNotNull() & F.col(by).isNotNull() & (F.size("_edges") > 1), F.size(inner) + 1)).select(*df.columns, "_edges", "bin")
     if bounds:
-        nothing = [F.lit(None).cast("double")]
-        out = out.withColumns({"lo": F.coalesce(*(lows or nothing)), "hi": F.coalesce(*(highs or nothing))})
-    return out
+        out = out.withColumns({"lo": F.get("_edges", F.col("bin") - 1), "hi": F.get("_edges", F.col("bin"))})
+    return out.drop("_edges")
 
 
 def _by_bin(df: DataFrame, col: str, q: int, **aggregates: Column) -> DataFrame:

@@ -130,13 +130,16 @@ def features(enriched: DataFrame, layout: str, keep: list[str]) -> tuple[DataFra
     return impute_median(table, cols), cols
 
 
-def one_hot_source(df: DataFrame, col: str = "dataset_source", prefix: str = "src_") -> DataFrame:
+def one_hot_source(df: DataFrame, col: str = "dataset_source", prefix: str = "src_", most: int = 200) -> DataFrame:
     """A 0/1 column per level found, alphabetical, none dropped.
 
     The levels come from the partial aggregate of a ``distinct``; there are as many
-    as stacked sources.
+    as stacked sources. A column with more than ``most`` levels raises an error.
     """
-    levels = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} levels")
+    levels = sorted(r[0] for r in found)
     return df.withColumns({f"{prefix}{v}": F.when(F.col(col) == v, 1.0).otherwise(0.0) for v in levels})
 
 

@@ -1,152 +1,123 @@
-"""Exact order statistics by repeated narrowing.
+"""Exact order statistics without a big task.
 
 Medians, quantile edges and the cut points of splits and folds are single values of a
 huge sorted column. Sorting the column (or a ``percentile`` over millions of distinct
 values, or ``row_number`` inside a two-valued class) would push the data through a few
-tasks. Each function here instead runs a small number of map-side-combined aggregates;
-every one returns a bounded number of rows, and the result is exact, not approximate.
+tasks. Quantiles come from a histogram of distinct values cut into buckets, cut points
+from counts per key prefix; both are exact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# `percentile` keeps one map entry per distinct value; up to this many it is one cheap pass.
-DISTINCT_LIMIT = 500_000
-_SKETCH = 10_000        # accuracy of percentile_approx while narrowing
-_MAX_GROUPS = 10_000    # groups are segments or classes, never subjects
-
-
-
-
-@dataclass
-class _Bracket:
-    """One wanted position: the values in [low, high] hold ranks first..last of a column."""
-    group: object
-    column: str
-    position: float                 # zero-based fractional rank in the whole group
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0                  # rows under low
-    inside: int = 0                 # rows in [low, high]
-    distinct: int = 0               # about how many distinct values they hold
-    margin: float = 2.0 / _SKETCH   # share of the ranks kept on either side when narrowing
-    values: list = field(default_factory=list)
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
-
-    def condition(self, by: str | None) -> Column:
-        x = F.col(self.column)
-        inside = (x >= F.lit(self.low)) & (x <= F.lit(self.high))
-        return inside if by is None else inside & (F.col(by) == F.lit(self.group))
-
-    def interpolate(self) -> float:
-        low, high = self.values
-        return low if low == high else low + (self.position - math.floor(self.position)) * (high - low)
+BUCKET = 1_000_000      # distinct values a bucket is meant to hold
+_STEPS = 1024           # most buckets; their bounds come from one sketch
+
+
+def bucket_bounds(count: int, sketch: list | None, bucket: int = BUCKET) -> list:
+    """Bounds that part ``count`` values into about equal buckets of ``bucket``, out of a sketch's quantiles."""
+    parts = min(_STEPS, -(-count // bucket))
+    if parts < 2 or not sketch:
+        return []
+    return sorted({sketch[k * _STEPS // parts - 1] for k in range(1, parts)})
+
+
+def sketched(col: str) -> Column:
+    """The ``_STEPS`` - 1 inner quantiles of a column, approximately: bounds of buckets, never a result."""
+    return F.percentile_approx(col, F.array(*[F.lit(k / _STEPS) for k in range(1, _STEPS)]), F.lit(10_000))
+
+
+def bucket_of(x: Column, bounds: list) -> Column:
+    """How many bounds lie below ``x``, by bisection in one nested conditional; 0 for null."""
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(x > F.lit(bounds[middle]), part(middle + 1, high)).otherwise(part(low, middle))
+
+    return part(0, len(bounds))
+
+
+def _histogram(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
+    """(g, i, x, n): rows per group, column number and value; a null or NaN is a null value with n = 0."""
+    def value(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
+    # A struct is never null: a null filter on the group, as a join on a column implies, would be pushed below the
+    # projections and repeat every expression behind it there.
+    g = F.struct(F.col(by).alias("by")) if by else F.lit(0)
+    if len(cols) == 1:
+        tall = df.select(g.alias("g"), F.lit(0).alias("i"), value(cols[0]).alias("x"))
+    else:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("x")) for i, c in enumerate(cols)])
+        tall = df.select(g.alias("g"), F.inline(cells))
+    return tall.groupBy("g", "i", "x").agg(F.count("x").alias("n"))
+
+
+def _picked(hist: DataFrame, wanted: dict[str, list[float]], bucket: int) -> DataFrame:
+    """(g, i, q): the interpolated quantiles of every group and column, in the order asked for."""
+    bounds = {r["i"]: bucket_bounds(r["n"], r["s"], bucket) for r in
+              hist.groupBy("i").agg(F.count("x").alias("n"), sketched("x").alias("s")).collect()}
+    part = F.coalesce(*[F.when(F.col("i") == i, bucket_of(F.col("x"), b)) for i, b in bounds.items()], F.lit(0))
+    values = hist.withColumn("b", part)
+    probs = F.coalesce(*[F.when(F.col("i") == i, F.array(*[F.lit(float(p)) for p in ps]))
+                         for i, ps in enumerate(wanted.values())])
+    group = W.partitionBy("g", "i")
+    before = F.coalesce(F.sum("t").over(group.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = (values.groupBy("g", "i", "b").agg(F.sum("n").alias("t"))
+              .select("*", before.alias("before"), F.sum("t").over(group).alias("all")).withColumn("p", probs))
+    ranks = F.expr("array_distinct(flatten(transform(p, v -> array(floor(v * (all - 1)), ceil(v * (all - 1))))))")
+    held = (totals.withColumn("ranks", ranks)
+            .withColumn("ranks", F.expr("filter(ranks, r -> r >= before and r < before + t)"))
+            .where("all = 0 or size(ranks) > 0").drop("t"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("g", "i", "b").orderBy("x"))
+    hits = (values.join(held, ["g", "i", "b"]).withColumn("upto", upto)
+            .withColumn("ranks", F.expr("filter(ranks, r -> r >= upto - n and r < upto)"))
+            .where("all = 0 or size(ranks) > 0")
+            .select("g", "i", "all", "p", "x", F.explode_outer("ranks").alias("r")))
+    # at most two entries a quantile asked for
+    at = hits.groupBy("g", "i", "all", "p").agg(F.map_from_entries(F.filter(
+        F.collect_list(F.struct("r", "x")), lambda e: e["r"].isNotNull())).alias("at"))
+    return (at.withColumn("ends", F.expr(
+                "transform(p, v -> struct(v * (all - 1) as r, "
+                "at[floor(v * (all - 1))] as lo, at[ceil(v * (all - 1))] as hi))"))
+            .selectExpr("g", "i", "transform(ends, e -> if(e.lo = e.hi, e.lo, "
+                                  "(ceil(e.r) - e.r) * e.lo + (e.r - floor(e.r)) * e.hi)) as q"))
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: str | None = None,
-                    distinct_limit: int = DISTINCT_LIMIT) -> dict:
+                    bucket: int = BUCKET) -> dict:
     """Linear-interpolated quantiles: ``{group: {column: [value, ...]}}`` (group None without ``by``).
 
-    A first pass sizes every column with a HyperLogLog count. Columns with few
-    distinct values are finished by one ``percentile`` aggregate; the others are
-    bracketed, each round keeping only about 2/10000 of the remaining ranks.
-    Nulls and NaNs are left out; a column with no values gives ``[None, ...]``.
+    One scan makes a histogram of distinct values, partial counts first. Its values fall into buckets of
+    about ``bucket`` by value; running counts within buckets, on top of the totals of the buckets before,
+    give every value its ranks. It is the same path at every size. Meant for groups whose results fit the driver;
+    ``quantile_table`` leaves them where they are. Nulls and NaNs are left out; a column with no values gives ``[None, ...]``.
     """
-    groups_by = [by] if by else []
-    clean = df.select(*groups_by, *[
-        F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in wanted])
-    sizes = (clean.groupBy(*groups_by)
-             .agg(*[e for c in wanted for e in (
-                 F.count(c).alias(f"n:{c}"), F.approx_count_distinct(c, 0.02).alias(f"d:{c}"))])
-             .limit(_MAX_GROUPS + 1).collect())
-    if len(sizes) > _MAX_GROUPS:
-        raise ValueError(f"{by} has too many groups for a quantile table")
-    if not sizes:
-        return {}
-    sizes = [r for r in sizes if not by or r[by] is not None]
-    small = [c for c in wanted if all(r[f"d:{c}"] <= distinct_limit for r in sizes)]
-    result: dict = {r[by] if by else None: {c: [None] * len(p) for c, p in wanted.items()}
-                    for r in sizes}
-    if small:
-        for row in (clean.groupBy(*groups_by)
-                    .agg(*[F.percentile(c, F.array(*map(F.lit, wanted[c]))).alias(c) for c in small])
-                    .collect()):
-            for c in small:
-                if row[c] is not None and (not by or row[by] is not None):
-                    result[row[by] if by else None][c] = list(row[c])
-    brackets = [_Bracket(r[by] if by else None, c, p * (r[f"n:{c}"] - 1), inside=r[f"n:{c}"],
-                         distinct=r[f"d:{c}"])
-                for r in sizes for c in wanted if c not in small and r[f"n:{c}"]
-                for p in wanted[c]]
-    if brackets:
-        _narrow(clean, brackets, by, distinct_limit)
-        found = iter(brackets)
-        for r in sizes:
-            for c in wanted:
-                if c not in small and r[f"n:{c}"]:
-                    result[r[by] if by else None][c] = [next(found).interpolate() for _ in wanted[c]]
+    cols = list(wanted)
+    result: dict = {} if by else {None: {c: [None] * len(p) for c, p in wanted.items()}}
+    hist = _histogram(df, cols, by).persist()
+    try:
+        for r in _picked(hist, wanted, bucket).collect():
+            if by and r["g"]["by"] is None:
+                continue
+            row = result.setdefault(r["g"]["by"] if by else None, {})
+            row[cols[r["i"]]] = list(r["q"])
+    finally:
+        hist.unpersist()
     return result
 
 
-def _narrow(df: DataFrame, brackets: list[_Bracket], by: str | None, distinct_limit: int) -> None:
-    active = [b for b in brackets if b.distinct > distinct_limit]
-    while active:
-        # propose a tighter bracket around the wanted ranks ...
-        asks = []
-        for i, b in enumerate(active):
-            first, last = (r - b.below for r in b.ranks)
-            probs = [max(0.0, first / b.inside - b.margin),
-                     min(1.0, (last + 1) / b.inside + b.margin)]
-            asks.append(F.percentile_approx(F.when(b.condition(by), F.col(b.column)),
-                                            F.array(*map(F.lit, probs)), F.lit(_SKETCH)).alias(str(i)))
-        proposals = df.agg(*asks).first()
-        # ... then count exactly, so a bracket is only ever accepted when it holds them
-        counts = []
-        for i, b in enumerate(active):
-            x, (low, high) = F.col(b.column), proposals[i]
-            inside = b.condition(by) & (x >= F.lit(low)) & (x <= F.lit(high))
-            counts += [F.count(F.when(b.condition(by) & (x < F.lit(low)), 1)).alias(f"b{i}"),
-                       F.count(F.when(inside, 1)).alias(f"n{i}"),
-                       F.approx_count_distinct(F.when(inside, x), 0.02).alias(f"d{i}")]
-        seen = df.agg(*counts).first()
-        for i, b in enumerate(active):
-            below, inside = b.below + seen[f"b{i}"], seen[f"n{i}"]
-            first, last = b.ranks
-            if below <= first and last < below + inside:
-                stuck = inside == b.inside
-                b.low, b.high = proposals[i]
-                b.below, b.inside = below, inside
-                b.distinct = 0 if stuck or b.low == b.high else seen[f"d{i}"]
-            else:                      # the sketch missed: keep the bracket, ask more widely
-                b.margin *= 8
-        active = [b for b in active if b.distinct > distinct_limit]
-    # final pass: distinct values of the narrow brackets with their counts, ranked
-    # (rows outside every bracket fold into the one null group)
-    tagged = df.select(F.explode_outer(F.filter(F.array(*[
-        F.when(b.condition(by), F.struct(F.lit(i).alias("i"), F.col(b.column).alias("x")))
-        for i, b in enumerate(brackets)]), lambda s: s.isNotNull())).alias("s"))
-    tally = tagged.groupBy("s.i", "s.x").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy("i").orderBy("x"))
-    below = F.element_at(F.array(*[F.lit(b.below) for b in brackets]), F.col("i") + 1)
-    ranked = tally.select("i", "x", (below + upto).alias("upto"), (below + upto - F.col("n")).alias("before"))
-    first = F.element_at(F.array(*[F.lit(b.ranks[0]) for b in brackets]), F.col("i") + 1)
-    last = F.element_at(F.array(*[F.lit(b.ranks[1]) for b in brackets]), F.col("i") + 1)
-    hits = ranked.groupBy("i").agg(
-        F.min(F.when(F.col("upto") > first, F.col("x"))).alias("lo"),
-        F.min(F.when(F.col("upto") > last, F.col("x"))).alias("hi")).collect()
-    for row in (r for r in hits if r["i"] is not None):
-        brackets[row["i"]].values = [row["lo"], row["hi"]]
+def quantile_table(df: DataFrame, col: str, probs: list[float], by: str, bucket: int = BUCKET) -> DataFrame:
+    """(``by``, q): the quantiles of one column per group, the null group too, however many groups, as a DataFrame."""
+    return _picked(_histogram(df, [col], by), {col: probs}, bucket).select(F.col("g.by").alias(by), "q")
 
 
 def exact_medians(df: DataFrame, cols: list[str], by: str | None = None) -> dict:

@@ -12,6 +12,7 @@ from ..functions.tails import t_quantile, t_two_sided
 from .binning import exact_median, split_easy_hard
 from .cleaning import impute_median
 from .ordered import with_running_total
+from .sampling import infer_subject
 from .scalars import confidence_norm
 
 STAT_FEATURES = ["mean_left", "mean_right", "var_left", "var_right", "diff_mean", "mean_var", "diff_var"]
@@ -36,10 +37,10 @@ def summary_by_source(stats: DataFrame) -> DataFrame:
 
 
 def rows_by_source(uni: DataFrame, col: str = "dataset_source", total: str = "total") -> DataFrame:
-    """Row count per source, largest first, with the overall count from the same pass."""
-    counted = uni.rollup(col).agg(F.count(F.lit(1)).alias("n"), F.grouping(col).alias("_all"))
-    return (counted.select(F.when(F.col("_all") == 1, total).otherwise(F.col(col)).alias(col), "n")
-            .orderBy(F.desc("n"), col))
+    """Row count per source, largest first, with the overall count summed from the few counts."""
+    counted = uni.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    overall = counted.agg(F.sum("n").alias("n")).select(F.lit(total).alias(col), F.coalesce("n", F.lit(0)).alias("n"))
+    return counted.unionByName(overall).orderBy(F.desc("n"), col)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -58,12 +59,17 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
 
 def point_biserial(stats: DataFrame, y: str = "response_left",
                    cols: list[str] | None = None) -> DataFrame:
-    """r, t and two-sided p of each statistic against the binary response."""
+    """r, t and two-sided p of each statistic against the binary response.
+
+    Infinities and gaps of a statistic become its median first; rows without a response do not count.
+    """
     cols = cols or STAT_FEATURES
-    row = stats.agg(F.count(y).alias("n"), *[F.corr(y, c).alias(c) for c in cols]).first()
+    filled = impute_median(stats.select(F.col(y).cast("double").alias(y), *cols), cols)
+    row = filled.agg(*[e for c in cols for e in (
+        F.count(F.when(F.col(c).isNotNull(), F.col(y))).alias(f"n:{c}"), F.corr(y, c).alias(c))]).first()
     out = []
     for c in cols:
-        r, n, t, p = row[c], row["n"], None, None
+        r, n, t, p = row[c], row[f"n:{c}"], None, None
         if r is not None and n > 2:
             t = r * math.sqrt((n - 2) / (1 - r * r)) if abs(r) < 1 else math.copysign(math.inf, r)
             p = t_two_sided(t, n - 2)
@@ -107,11 +113,15 @@ def paired_subjects(easy: DataFrame, hard: DataFrame, subject: str = "subject")
     return easy.join(hard, subject, "inner")
 
 
-def paired_ttest_gap(enriched: DataFrame, subject: str = "subject", min_subjects: int = 3) -> DataFrame:
+def paired_ttest_gap(enriched: DataFrame, subject: str = "subject", min_subjects: int = 3,
+                     trials_per_subject: int = 200) -> DataFrame:
     """Paired t-test of the hard against the easy gap; null under ``min_subjects`` pairs.
 
-    Both sides of a subject come from one grouped pass, so pairing is a null filter.
+    Both sides of a subject come from one grouped pass, so pairing is a null filter. A layout without
+    subjects gets them from the row order, ``trials_per_subject`` rows each.
     """
+    if subject not in enriched.columns:
+        enriched = infer_subject(enriched, trials_per_subject, name=subject)
     pairs = subject_gap(enriched, subject).where(
         F.col(subject).isNotNull() & F.col("gap_easy").isNotNull() & F.col("gap_hard").isNotNull())
     diff = F.col("gap_hard") - F.col("gap_easy")
@@ -132,15 +142,18 @@ def paired_ttest_gap(enriched: DataFrame, subject: str = "subject", min_subjects
 
 
 def fold_ci(scores: DataFrame, by: str = "model", score: str = "score", alpha: float = 0.95) -> DataFrame:
-    """Mean and t-interval of fold scores, one row per model (a single fold has margin 0)."""
-    out = []
-    for r in (scores.groupBy(by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"),
-                                     F.stddev_samp(score).alias("sd")).collect()):
-        n, mean = r["n"], r["mean"]
-        margin = t_quantile((1 + alpha) / 2, n - 1) * r["sd"] / math.sqrt(n) if n > 1 else 0.0
-        out.append((r[by], n, mean, margin, mean - margin, mean + margin))
-    return scores.sparkSession.createDataFrame(
-        out, f"{by} string, n long, mean double, margin double, low double, high double")
+    """Mean and t-interval of fold scores, one row per model (a single fold has margin 0).
+
+    The quantile depends on the number of folds alone: only the distinct numbers come to the driver.
+    """
+    grouped = scores.groupBy(F.col(by).cast("string").alias(by)).agg(
+        F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("_sd"))
+    factor = F.lit(0.0)
+    for n in sorted(r["n"] for r in grouped.select("n").where("n > 1").distinct().collect()):
+        factor = F.when(F.col("n") == n, t_quantile((1 + alpha) / 2, n - 1) / math.sqrt(n)).otherwise(factor)
+    return (grouped.withColumn("margin", F.coalesce(F.col("_sd"), F.lit(0.0)) * factor)
+            .select(by, "n", "mean", "margin", (F.col("mean") - F.col("margin")).alias("low"),
+                    (F.col("mean") + F.col("margin")).alias("high")))
 
 
 def cluster_profile(df: DataFrame, cluster: str = "cluster", min_rows: int = 10) -> DataFrame:

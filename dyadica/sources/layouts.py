@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,15 +118,27 @@ def read_trials(spark: SparkSession, path: str, layout: str, fmt: str = "csv") -
 
 
 def add_trial_id(df: DataFrame) -> DataFrame:
-    """Number the rows of file-backed trials in file order (path, then row)."""
-    from ..operators.ordered import with_row_position
+    """Number the rows of file-backed trials in file order (path, then row).
 
+    Rows are numbered inside a block of a file, as the scan splits it, and shifted by the rows of the blocks
+    before, of which there is one line each.
+    """
     located = df.select(
         "*", F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"))
-    numbered = with_row_position(located, ["_path", "_block", "_row"], "trial_id")
-    return numbered.drop("_path", "_block", "_row")
+    blocks = located.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    files = blocks.groupBy("_path").agg(F.sum("_rows").alias("_rows"))
+
+    def earlier(window):
+        return F.coalesce(F.sum("_rows").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    files = files.select("_path", earlier(W.orderBy("_path")).alias("_files"))
+    blocks = blocks.select("_path", "_block", earlier(W.partitionBy("_path").orderBy("_block")).alias("_before"))
+    local = F.row_number().over(W.partitionBy("_path", "_block").orderBy("_row")) - 1
+    return (located.withColumn("_local", local).join(blocks.join(files, "_path"), ["_path", "_block"])
+            .withColumn("trial_id", F.col("_files") + F.col("_before") + F.col("_local"))
+            .drop("_path", "_block", "_row", "_local", "_files", "_before"))
 
 
 def canonical_trials(df: DataFrame, layout: str) -> DataFrame:

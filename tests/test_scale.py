@@ -21,11 +21,11 @@ def values(spark):
     return rows, spark.createDataFrame(rows, "g string, x double").repartition(5).persist()
 
 
-@pytest.mark.parametrize("limit", [50, 500_000])
-def test_quantiles(values, limit):
+@pytest.mark.parametrize("bucket", [50, 500_000])
+def test_quantiles(values, bucket):
     rows, df = values
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    found = selection.exact_quantiles(df, {"x": probs}, by="g", distinct_limit=limit)
+    found = selection.exact_quantiles(df, {"x": probs}, by="g", bucket=bucket)
     assert set(found) == {"a", "b", "c"}
     for g in "ab":
         want = np.quantile([x for k, x in rows if k == g], probs)
@@ -33,11 +33,11 @@ def test_quantiles(values, limit):
     assert found["c"]["x"] == [4.0] * len(probs)
 
 
-@pytest.mark.parametrize("limit", [20, 500_000])
-def test_quantiles_of_two_columns(values, limit):
+@pytest.mark.parametrize("bucket", [20, 500_000])
+def test_quantiles_of_two_columns(values, bucket):
     rows, df = values
     both = df.withColumn("y", F.col("x") * 2)
-    found = selection.exact_quantiles(both, {"x": [0.5], "y": [0.5, 0.3]}, distinct_limit=limit)[None]
+    found = selection.exact_quantiles(both, {"x": [0.5], "y": [0.5, 0.3]}, bucket=bucket)[None]
     xs = [x for _, x in rows if x is not None and x == x]
     assert found["x"][0] == pytest.approx(np.median(xs), abs=1e-12)
     assert found["y"] == pytest.approx([2 * np.median(xs), 2 * np.quantile(xs, 0.3)], abs=1e-12)
@@ -81,19 +81,21 @@ def test_split_matches_ranking(spark, trials):
     assert {r[0] for r in sampling.split_members(again, "test").select("trial_id").collect()} == want
 
 
-def test_row_position(spark):
+@pytest.mark.parametrize("bucket", [100, 1_000_000])
+def test_row_position(spark, bucket):
     ids = list(range(0, 5000, 3))
     random.Random(1).shuffle(ids)
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(6)
-    placed = {r["id"]: r["position"] for r in with_row_position(df, ["id"]).collect()}
+    placed = {r["id"]: r["position"] for r in with_row_position(df, ["id"], bucket=bucket).collect()}
     assert placed == {i: n for n, i in enumerate(sorted(ids))}
 
 
-def test_running_total(spark):
+@pytest.mark.parametrize("bucket", [100, 1_000_000])
+def test_running_total(spark, bucket):
     rng = random.Random(2)
     rows = [(rng.random(), rng.randint(0, 9)) for _ in range(2000)]
     df = spark.createDataFrame(rows, "s double, v long").repartition(6)
-    got = {r["s"]: r["before"] for r in with_running_total(df, "s", "v", "before").collect()}
+    got = {r["s"]: r["before"] for r in with_running_total(df, "s", "v", "before", bucket).collect()}
     total, want = 0, {}
     for s, v in sorted(rows):
         want[s] = total

@@ -76,7 +76,7 @@ def test_sigmoid_holds_the_exponent(spark):
 
 def test_repeated_edges_are_dropped(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 1.0, 1.0, 1.0, 2.0, 3.0)], "x double")
-    assert binning.quantile_edges(df, "x", 4)[None] == [1.0, 1.75, 3.0]
+    assert binning.quantile_edges(df, "x", 4) == [1.0, 1.75, 3.0]
     counts = {r["bin"]: r["count"] for r in binning.quantile_bin(df, "x", 4).groupBy("bin").count().collect()}
     assert counts == {1: 4, 2: 2}
 
