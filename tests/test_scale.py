@@ -111,3 +111,21 @@ def test_auc(spark):
     neg = [s for y, s in rows if y == 0]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert summaries.roc_auc(df, "y", "s").first()[0] == pytest.approx(want, abs=1e-12)
+
+
+def test_paired_gap_without_subject(spark, trials):
+    from dyadica.operators import enrich
+    cons = enrich.enrich(trials.where(F.col("source") == "cons")).drop("subject")
+    inferred = sampling.infer_subject(cons, 10)
+    want = summaries.paired_ttest_gap(inferred).first()
+    assert summaries.paired_ttest_gap(cons, trials_per_subject=10).first() == want and want["n_subjects"] >= 3
+
+
+def test_point_biserial_fills_infinities(spark):
+    rows = [(i % 2, float(i)) for i in range(9)] + [(1, float("inf")), (0, None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "y int, x double")
+    found = summaries.point_biserial(df, "y", ["x"]).first()
+    median = float(np.median([x for _, x in rows if x is not None and np.isfinite(x)]))
+    pairs = [(y, x if x is not None and np.isfinite(x) else median) for y, x in rows if y is not None]
+    assert found["n"] == len(pairs)
+    assert found["r"] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1], abs=1e-12)
