@@ -300,6 +300,48 @@ def test_licences(spark):
     assert (got[9001], got[9002], got[9003], got[9004], got[9005]) == ("mit", None, None, "apache", None)
 
 
+NOTICES = [
+    ("proprietary", "All rights reserved."), ("proprietary", "Copyright 2020 Acme Inc. All rights reserved."),
+    ("proprietary", "Reproduction without permission\nis prohibited."), ("apache", "Apache License 2.0"),
+    ("apache", "Licensed under the Apache\nLicense, Version 2.0"), ("mit", "The MIT License (MIT)"),
+    ("mit", "Permission is hereby granted, free of charge,\nto any person obtaining a\ncopy of this software"),
+    ("gpl", "released under the GNU GPL version 2"), ("bsd", "BSD 3-Clause License"), ("cc-by", "CC BY 4.0"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify\n"
+            "it under the terms of the GNU General Public License as published by"),
+    ("bsd", "Redistribution and use in source and binary\nforms, with or without modification, are permitted"),
+    ("cc-by-nc", "CC BY-NC 4.0"), ("cc-by-nc", "licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License"),
+    ("cc-by", "licensed under a Creative Commons\nAttribution 4.0 International License"), ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by-sa", "licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License"),
+    ("cc0", "CC0 1.0 Universal"), ("cc0", "Dedicated to the public\ndomain under CC0 1.0"), ("mpl", "Mozilla Public License 2.0"),
+    ("mpl", "This Source Code Form is subject to the\nterms of the Mozilla Public License, v. 2.0"),
+]
+
+
+def test_short_and_wrapped_licences(spark):
+    corpus = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    rows = [(90_000 + i, f"Some plain words stand here\n{text}\nand others follow after it") for i, (_, text) in enumerate(NOTICES)]
+    rows += [(91_000, "All rights reserved.\n\nplain\nAll rights reserved."), (91_001, "the rights of all are reserved here"),
+             (91_002, "All rights\n\nreserved"), (None, "CC BY 4.0"), (91_003, "a"), (91_003, "MIT\nThe MIT License (MIT)")]
+    found = licences.licence_scan(corpus.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    got = Counter((r["doc_id"], r["licences"], r["n_licence_lines"]) for r in found if r["doc_id"] is None or r["doc_id"] >= 90_000)
+    # Two of the three lines of MIT's permission hold enough of it, and the fewest count.
+    want = Counter((90_000 + i, family, min(2, text.count("\n") + 1)) for i, (family, text) in enumerate(NOTICES))
+    assert got == want + Counter([(91_000, "proprietary", 2), (91_001, None, 0), (91_002, None, 0), (None, "cc-by", 1),
+                                  (91_003, None, 0), (91_003, "mit", 1)])
+
+
+def test_licences_of_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    notice = F.regexp_extract("line", "(All rights reserved|MIT License|Apache License|CC BY-NC|GNU General)", 1)
+    names = {"All rights reserved": "proprietary", "MIT License": "mit", "Apache License": "apache", "CC BY-NC": "cc-by-nc", "GNU General": "gpl"}
+    want = Counter((r["doc_id"], names[r["n"]]) for r in lines.select("doc_id", notice.alias("n")).where("n <> ''").collect())
+    got = {r["doc_id"]: (r["licences"].split(","), r["n_licence_lines"])
+           for r in licences.licence_scan(docs).where("licences is not null").collect()}
+    assert {(d, f) for d, (families, _) in got.items() for f in families} == set(want)
+    assert sum(n for _, n in got.values()) == sum(want.values()) == 328
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
     tokens = Tokenizer.from_file(packing.tokenizer_path())
