@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, id_digest, pinned, table, word_count
+from .common import SPACE, free_name, id_digest, pinned, table, word_count, written
 
 BLOCK = 256
 SHARD_SLOTS = 4096
@@ -35,9 +35,10 @@ SHARD_SLOTS = 4096
 _STEPS = (715_827_883, 1_073_741_789)
 
 
-def _sizes(docs: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
+def _sizes(docs: DataFrame, id_col: str, source_col: str, size: Column, row_col: str | None) -> DataFrame:
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                       size.alias("size"), F.monotonically_increasing_id().alias("row"))
+                       size.alias("size"), row.alias("row"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
@@ -139,13 +140,14 @@ def mixing_slots(sizes: DataFrame, goals: DataFrame, block: int = BLOCK,
 
 def mix_pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2,
-               block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+               block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
+               row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their sizes, targets, pieces).
 
-    A piece is the part of a document in one slot: doc_id, row (the document's in the sizes), source, size,
-    shard, slot, epoch, and the document's words ``from_word`` up to before ``to_word``.
+    A piece is the part of a document in one slot: doc_id, row (the document's in the sizes: ``row_col``, or numbered
+    there), source, size, shard, slot, epoch, and the document's words ``from_word`` up to before ``to_word``.
     """
-    sizes = pinned(_sizes(docs, id_col, source_col, word_count(F.col(f"`{text_col}`"))))
+    sizes = pinned(_sizes(docs, id_col, source_col, word_count(F.col(f"`{text_col}`")), row_col))
     goals = pinned(targets(sizes, weights, share, max_repeat))
     slots = mixing_slots(sizes, goals, block, shard_slots)
     ends = F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -176,19 +178,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """The mix as documents: a row of ``docs`` for every epoch that takes some of its words.
 
     A document whose words an epoch takes all keeps its text as it is; else the text is the taken words,
-    joined by single spaces. Documents without words go, they have no share in any mix. Rows that repeat an id
-    each stand for all of them.
+    joined by single spaces. Documents without words go, they have no share in any mix. Rows are told apart by a
+    key that is written with them, so those that repeat an id or have none each stand for themselves.
     """
-    sizes, _, pieces = mix_pieces(docs, id_col, source_col, text_col, **settings)
-    runs = (pieces.groupBy("doc_id", "row", "size", "epoch")
+    key = free_name(docs, "mix_row")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    _, _, pieces = mix_pieces(rows, id_col, source_col, text_col, row_col=key, **settings)
+    runs = (pieces.groupBy("row", "size", "epoch")
             .agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n"),
                  F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("spans")))
     own, spans, whole, words = (free_name(docs, n) for n in ("mix_id", "mix_spans", "mix_whole", "mix_words"))
-    runs = runs.select(F.col("doc_id").alias(own), (F.col("n") == F.col("size")).alias(whole), F.col("spans").alias(spans))
+    runs = runs.select(F.col("row").alias(own), (F.col("n") == F.col("size")).alias(whole), F.col("spans").alias(spans))
     text = F.col(f"`{text_col}`")
     cut = F.expr(f"array_join(flatten(transform(`{spans}`, s -> slice(`{words}`, cast(s.from_word + 1 as int), "
                  f"cast(s.to_word - s.from_word as int)))), ' ')")
-    joined = (docs.join(runs, docs[id_col] == runs[own])
+    joined = (rows.join(runs, rows[key] == runs[own])
               .withColumn(words, F.when(F.col(whole), F.array().cast("array<string>")).otherwise(
                   F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)")))))
     mixed = joined.withColumn(text_col, F.when(F.col(whole), text).otherwise(cut))

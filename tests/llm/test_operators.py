@@ -100,6 +100,28 @@ def test_mixing(docs, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_by_row(spark):
+    """Null ids take part, and rows that repeat an id with another text do not cut each other."""
+    rows = [r[:5] + (str(n),) for n, r in enumerate([*ROWS, (11, " ".join(f"own{i}" for i in range(300)), "en", "c", None, None),
+                                                     (None, " ".join(f"none{i}" for i in range(90)), "en", "a", None, None)])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    _, goals, pieces = mixing.mix_pieces(docs, block=16)
+    quota = {r["source"]: r["quota"] for r in goals.collect() if r["quota"]}
+    mixed = mixing.mixed_documents(docs, block=16)
+    assert mixed.columns == docs.columns
+    got, taken, by_row = mixed.collect(), Counter(), {}
+    for r in got:
+        words = r["text"].split()
+        taken[r["source"]] += len(words)
+        by_row.setdefault(int(r["_text"]), Counter()).update(words)
+    assert taken == quota
+    for n, words in by_row.items():
+        own = Counter((rows[n][1] or "").split())
+        assert all(k <= 2 * own[w] for w, k in words.items())
+    assert {10, 13, 14} <= set(by_row)
+    assert max(Counter(r["_text"] for r in got).values()) <= 2
+
+
 def test_substrings(docs, none):
     first, want = {}, []
     for i, t, *_ in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0)):
