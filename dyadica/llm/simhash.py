@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, pinned, table
+from .common import free_name, pinned, table, written
 from .components import components
 
 MASKS, CELL = 7, 4096
@@ -70,17 +70,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, row_col: str | None = None) -> DataFrame:
+    """(id, fp, row) with the fingerprint as a signed long; ``row`` is null without ``row_col``."""
+    row = F.col(f"`{row_col}`") if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
     kind = dict(rows.dtypes)["id"]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["id", "fp", "row"])
 
-    return rows.mapInArrow(one, f"id {kind}, fp long")
+    return rows.mapInArrow(one, f"id {kind}, fp long, row long")
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
@@ -183,12 +184,11 @@ def _links(dealt: DataFrame, most: int) -> DataFrame:
     return cells.select("fps").mapInArrow(one, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                   distance: int = 2) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id."""
+def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, row_col: str | None = None) -> DataFrame:
+    """One row per document: id, row, fp, root (its group, a fingerprint), component_id."""
     if distance > 2:
         raise ValueError("cells of two groups hold pairs of at most two differing bits")
-    rows = pinned(fingerprints(docs, id_col, text_col, shingle))
+    rows = pinned(fingerprints(docs, id_col, text_col, shingle, row_col))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     dealt = pinned(_dealt(nodes))
     sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -199,17 +199,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select(
-        F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                   distance: int = 2) -> DataFrame:
+    """One row per document: id, fp (signed long), component_id."""
+    return _members(docs, id_col, text_col, shingle, distance).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                          distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that name their group; the other members go."""
-    gone_id = free_name(docs, "gone_id")
-    gone = (simhash_groups(docs, id_col, text_col, shingle, distance)
-            .where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone_id)).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]), "left_anti")
+    """One row of ``docs`` for each group, one that names it; the other members go.
+
+    Rows are told apart by a key that is written with them, so ids may repeat or be null.
+    """
+    key = free_name(docs, "simhash_row")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    stay = (_members(rows, id_col, text_col, shingle, distance, key).where(F.col("id").eqNullSafe(F.col("component_id")))
+            .groupBy("root").agg(F.min("row").alias("row")).select(F.col("row").alias("stay")))
+    return rows.join(stay, rows[key] == stay["stay"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:

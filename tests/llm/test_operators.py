@@ -241,6 +241,18 @@ def test_simhash(spark, docs, none, monkeypatch, cell):
     assert simhash.simhash_groups(none).count() == 0
 
 
+def test_drop_near_duplicates_by_row(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcde"}
+    rows = [(1, text["a"], "stays"), (None, text["a"], "goes"), (None, text["b"], "stays"),  # a null id in a group, one alone
+            (5, text["a"], "goes"), (5, text["c"], "stays"), (6, text["c"], "goes"),  # 5 names one group, is a copy in another
+            (7, text["d"], "one of d"), (7, text["d"] + "\n", "one of d"), (8, text["d"], "goes"),
+            (None, text["e"], "one of e"), (None, text["e"], "one of e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert Counter(r["fp"] for r in left.collect()) == Counter({"stays": 3, "one of d": 1, "one of e": 1})
+
+
 @pytest.mark.parametrize("cell", [4096, 3])
 def test_simhash_cells_lose_no_pair(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
