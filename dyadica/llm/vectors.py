@@ -8,8 +8,8 @@ threshold and from the number of vectors:
   by the cell of all its segments. As many projections as leave a random vector few companions, as many
   tables as bring a pair at the threshold together at least once with probability ``RECALL``;
 * in a cell, a vector's window in each of ``COUNTED`` further projections is centred on it and
-  ``HALF_WIDTH`` standard deviations wide to either side; the members are sorted by the first and their
-  collisions counted over all. The count a pair must reach is the quantile of its law at the threshold that
+  ``HALF_WIDTH`` standard deviations wide to either side; the members are sorted by the first, on which partners over
+  ``REACH`` deviations apart (6 in 100,000 at the threshold) are left out, and their collisions counted over all. The count a pair must reach is the quantile of its law at the threshold that
   loses one in a thousand;
 * pairs that reach it are verified by their cosine in double precision.
 
@@ -38,7 +38,7 @@ from .common import pinned, table
 from .components import components
 from .runs import groups
 
-RECALL, COUNTED, HALF_WIDTH, BLOCK = 0.97, 64, 2.0, 2048
+RECALL, COUNTED, HALF_WIDTH, REACH, BLOCK = 0.97, 64, 2.0, 4.0, 2048
 SEGMENT = 0.8  # of a projection's half range of three standard deviations, in the units of 1 / sqrt(d)
 
 
@@ -117,11 +117,11 @@ def _pairs(unit_a: np.ndarray, unit_b: np.ndarray, plan: Plan) -> Iterator[tuple
     a, b = unit_a @ lines, unit_b @ lines
     order_a, order_b = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
     a, b = a[order_a], b[order_b]
-    step = 256
+    step, reach = 256, plan.window * REACH / HALF_WIDTH
     for at in range(0, len(a), step):
         rows = a[at:at + step]
-        low = np.searchsorted(b[:, 0], rows[0, 0] - plan.window, "left")
-        high = np.searchsorted(b[:, 0], rows[-1, 0] + plan.window, "right")
+        low = np.searchsorted(b[:, 0], rows[0, 0] - reach, "left")
+        high = np.searchsorted(b[:, 0], rows[-1, 0] + reach, "right")
         others = b[low:high]
         if not len(others):
             continue

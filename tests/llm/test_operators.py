@@ -292,6 +292,21 @@ def test_vectors(spark):
     assert vectors.vector_links(frame.limit(0)).count() == 0
 
 
+def test_crowded_cell_loses_no_link():
+    """2048 vectors in one cell, a thousand pairs just above the threshold: only the count may lose one in a thousand."""
+    rng = np.random.default_rng(6)
+    base, other = rng.normal(size=(2, 1024, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    unit = np.concatenate([base, 0.9001 * base + np.sqrt(1 - 0.9001 ** 2) * other])
+    found = {(int(a), int(b)) for x, y in vectors._pairs(unit, unit, vectors.calibrated(64, 100_000, 0.9)) for a, b in zip(x, y)}
+    links = unit @ unit.T >= 0.9
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(links))}
+    print(len(found), len(want))
+    assert found <= want and len(found) >= 0.997 * len(want)
+
+
 def test_folding():
     assert toxicity.fold("You IDIOT!!! 1d10t іdіоt ídiot idiot$$$ 2024 a1b") == " you idiot idiot idiot idiot idiot aib "
     assert toxicity.fold(None) == toxicity.fold("") == toxicity.fold("  \n") == " "
