@@ -10,7 +10,8 @@ The digest is SHA-256 of the normalised text. At every level rows merge only whe
 second, independent hash agree as well, so a smallest id is only kept for a verified group.
 
 Defined results: a null text counts as empty; of null ids none is smallest unless the group has no other;
-rows that repeat an id and its text share their group's answer (all of them are kept if the id is); rows
+rows that repeat an id and its text share their group's answer (all of them are kept if the id is, though
+``drop_exact_duplicates`` keeps one row of a group, by a row key); rows
 that repeat an id with another text are judged by their text; an empty table gives an empty table.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, pinned, table
+from .common import SPACE, free_name, pinned, table, written
 
 _KEY = ["_digest", "_bytes", "_check"]
 
@@ -30,19 +31,19 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), pattern, " ")
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    text = docs.select(F.col(f"`{id_col}`").alias("_id"), normalised(F.col(f"`{text_col}`")).alias("_text"))
+def _digests(docs: DataFrame, id_col: str, text_col: str, runs: int, row_col: str | None) -> DataFrame:
+    row = F.col(f"`{row_col}`") if row_col else F.lit(None).cast("long")
+    text = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("_row"), normalised(F.col(f"`{text_col}`")).alias("_text"))
     return text.select(
-        "_id", F.pmod(F.xxhash64("_id"), F.lit(runs)).alias("_run"),
+        "_id", "_row", F.pmod(F.xxhash64("_id"), F.lit(runs)).alias("_run"),
         F.unhex(F.sha2("_text", 256)).alias("_digest"),
         F.octet_length("_text").alias("_bytes"), F.xxhash64("_text").alias("_check"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 fan_in: int = 8, rounds: int = 2) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 (see the module)."""
+def _members(docs: DataFrame, id_col: str, text_col: str, fan_in: int = 8, rounds: int = 2, row_col: str | None = None) -> DataFrame:
+    """One row per input row: _id, _row, the digest columns, and _keep and _n, null for a text that is there once."""
     runs = fan_in ** rounds
-    rows = pinned(_digests(docs, id_col, text_col, runs))
+    rows = pinned(_digests(docs, id_col, text_col, runs, row_col))
     level = rows.groupBy("_run", *_KEY).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     levels = [pinned(level.sortWithinPartitions("_run", "_digest"))]
     for _ in range(rounds):
@@ -55,7 +56,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  .withColumn("_run", (F.col("_at") / fan_in).cast("long")))
         answer = (below.join(answer, ["_run", *_KEY])
                   .select(F.col("_at").alias("_run"), *_KEY, "_keep", "_n"))
-    found = rows.join(answer, ["_run", *_KEY], "left")
+    return rows.join(answer, ["_run", *_KEY], "left")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 fan_in: int = 8, rounds: int = 2) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 (see the module)."""
+    found = _members(docs, id_col, text_col, fan_in, rounds)
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return found.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"),
@@ -64,13 +71,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns only."""
-    here = free_name(docs, "sha_here")
-    gone = (exact_groups(docs, id_col, text_col).where("not kept")
-            .select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
-    rows = docs.withColumn(here, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    same = rows[id_col].eqNullSafe(gone["gone_id"]) & (rows[here] == gone["gone_sha"])
-    return rows.join(gone, same, "left_anti").drop(here)
+    """One row of ``docs`` for each text, one with the smallest id, with its own columns only.
+
+    Rows are told apart by a key that is written with them, so ids may repeat or be null.
+    """
+    key = free_name(docs, "exact_row")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "exact-rows")
+    stay = (_members(rows, id_col, text_col, row_col=key).where("_n is null or _id <=> _keep")
+            .groupBy(*_KEY).agg(F.min("_row").alias("stay")))
+    return rows.join(stay, rows[key] == stay["stay"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,6 +63,15 @@ def test_exact(docs, none):
     assert exact.exact_groups(none).count() == 0
 
 
+def test_drop_exact_duplicates_by_row(spark):
+    rows = [(1, "a  b"), (1, "a b"), (2, "a b"), (None, "n"), (None, "n"), (3, "c"), (3, "d"), (4, "d"), (None, "d"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = exact.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in left.collect())
+    assert got == Counter([(1, "a b"), (None, "n"), (3, "c"), (3, "d"), (5, "")])
+
+
 def test_targets(spark):
     rows = [("a", 10), ("b", 1000), ("c", 500), (None, 100), ("d", 0)]
     sizes = spark.createDataFrame(rows, "source string, size long")
