@@ -3,13 +3,16 @@
 Medians, quantile edges and the cut points of splits and folds are single values of a
 huge sorted column. Sorting the column (or a ``percentile`` over millions of distinct
 values, or ``row_number`` inside a two-valued class) would push the data through a few
-tasks. Quantiles come from a histogram of distinct values cut into buckets, cut points
-from counts per key prefix; both are exact.
+tasks. Quantiles come from brackets around the wanted ranks, which a sketch gives and a
+second scan counts, cut points from counts per key prefix; both are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET = 1_000_000      # distinct values a bucket is meant to hold
-_STEPS = 1024           # most buckets; their bounds come from one sketch
+INSIDE = 100_000        # values inside all brackets that the driver takes
+_STEPS = 1024           # steps of a sketch's grid, and most buckets
+_ACCURACY = 10_000      # a sketch's ranks are right to this part of the rows
 
 
 def bucket_bounds(count: int, sketch: list | None, bucket: int = BUCKET) -> list:
@@ -28,9 +33,9 @@ def bucket_bounds(count: int, sketch: list | None, bucket: int = BUCKET) -> list
     return sorted({sketch[k * _STEPS // parts - 1] for k in range(1, parts)})
 
 
-def sketched(col: str) -> Column:
+def sketched(col: str | Column) -> Column:
     """The ``_STEPS`` - 1 inner quantiles of a column, approximately: bounds of buckets, never a result."""
-    return F.percentile_approx(col, F.array(*[F.lit(k / _STEPS) for k in range(1, _STEPS)]), F.lit(10_000))
+    return F.percentile_approx(col, F.array(*[F.lit(k / _STEPS) for k in range(1, _STEPS)]), F.lit(_ACCURACY))
 
 
 def bucket_of(x: Column, bounds: list) -> Column:
@@ -44,80 +49,164 @@ def bucket_of(x: Column, bounds: list) -> Column:
     return part(0, len(bounds))
 
 
-def _histogram(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
-    """(g, i, x, n): rows per group, column number and value; a null or NaN is a null value with n = 0."""
-    def value(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x), x)
+def _value(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
-    # A struct is never null: a null filter on the group, as a join on a column implies, would be pushed below the
-    # projections and repeat every expression behind it there.
-    g = F.struct(F.col(by).alias("by")) if by else F.lit(0)
-    if len(cols) == 1:
-        tall = df.select(g.alias("g"), F.lit(0).alias("i"), value(cols[0]).alias("x"))
+
+def _around(grid: list[float], p: float) -> tuple[float, float]:
+    """Grid values that bracket quantile ``p``: two steps away, and then the next other value.
+
+    Two steps are more than the sketch's rank error and the fraction of a rank together, or, where there are
+    fewer values than steps, the grid holds every value and the next other one is a rank further.
+    """
+    low, high = grid[max(0, math.floor(p * _STEPS) - 2)], grid[min(_STEPS, math.ceil(p * _STEPS) + 2)]
+    return (max([v for v in grid if v < low], default=-math.inf), min([v for v in grid if v > high], default=math.inf))
+
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Overlapping brackets joined, in rising order."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _segment(x: Column, brackets: list[tuple[float, float]]) -> Column:
+    """2k for a value between brackets, 2k + 1 for one inside bracket k; null for null."""
+    passed = [F.when(x >= F.lit(low), 1).otherwise(0) + F.when(x > F.lit(high), 1).otherwise(0) for low, high in brackets]
+    return F.when(x.isNotNull(), reduce(add, passed, F.lit(0)))
+
+
+def _tall(df: DataFrame, brackets: dict[str, list]) -> DataFrame:
+    """(i, x, segment): a row per value of every column; only ``i`` is set for a null or NaN."""
+    cells = [F.struct(F.lit(i).alias("i"), _value(c).alias("x")) for i, c in enumerate(brackets)]
+    if len(cells) == 1:
+        rows = df.select(F.lit(0).alias("i"), _value(next(iter(brackets))).alias("x"))
     else:
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("x")) for i, c in enumerate(cols)])
-        tall = df.select(g.alias("g"), F.inline(cells))
-    return tall.groupBy("g", "i", "x").agg(F.count("x").alias("n"))
-
-
-def _picked(hist: DataFrame, wanted: dict[str, list[float]], bucket: int) -> DataFrame:
-    """(g, i, q): the interpolated quantiles of every group and column, in the order asked for."""
-    bounds = {r["i"]: bucket_bounds(r["n"], r["s"], bucket) for r in
-              hist.groupBy("i").agg(F.count("x").alias("n"), sketched("x").alias("s")).collect()}
-    part = F.coalesce(*[F.when(F.col("i") == i, bucket_of(F.col("x"), b)) for i, b in bounds.items()], F.lit(0))
-    values = hist.withColumn("b", part)
-    probs = F.coalesce(*[F.when(F.col("i") == i, F.array(*[F.lit(float(p)) for p in ps]))
-                         for i, ps in enumerate(wanted.values())])
-    group = W.partitionBy("g", "i")
-    before = F.coalesce(F.sum("t").over(group.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = (values.groupBy("g", "i", "b").agg(F.sum("n").alias("t"))
-              .select("*", before.alias("before"), F.sum("t").over(group).alias("all")).withColumn("p", probs))
-    ranks = F.expr("array_distinct(flatten(transform(p, v -> array(floor(v * (all - 1)), ceil(v * (all - 1))))))")
-    held = (totals.withColumn("ranks", ranks)
-            .withColumn("ranks", F.expr("filter(ranks, r -> r >= before and r < before + t)"))
-            .where("all = 0 or size(ranks) > 0").drop("t"))
-    upto = F.col("before") + F.sum("n").over(W.partitionBy("g", "i", "b").orderBy("x"))
-    hits = (values.join(held, ["g", "i", "b"]).withColumn("upto", upto)
-            .withColumn("ranks", F.expr("filter(ranks, r -> r >= upto - n and r < upto)"))
-            .where("all = 0 or size(ranks) > 0")
-            .select("g", "i", "all", "p", "x", F.explode_outer("ranks").alias("r")))
-    # at most two entries a quantile asked for
-    at = hits.groupBy("g", "i", "all", "p").agg(F.map_from_entries(F.filter(
-        F.collect_list(F.struct("r", "x")), lambda e: e["r"].isNotNull())).alias("at"))
-    return (at.withColumn("ends", F.expr(
-                "transform(p, v -> struct(v * (all - 1) as r, "
-                "at[floor(v * (all - 1))] as lo, at[ceil(v * (all - 1))] as hi))"))
-            .selectExpr("g", "i", "transform(ends, e -> if(e.lo = e.hi, e.lo, "
-                                  "(ceil(e.r) - e.r) * e.lo + (e.r - floor(e.r)) * e.hi)) as q"))
+        rows = df.select(F.inline(F.array(*cells)))
+    parts = [F.when(F.col("i") == i, _segment(F.col("x"), b)) for i, b in enumerate(brackets.values())]
+    return rows.select("i", "x", F.coalesce(*parts).alias("segment"))
+
+
+def _narrowed(tall: DataFrame, brackets: dict[str, list], wanted: dict[str, list[float]]) -> dict[str, list]:
+    """Brackets inside the brackets, from the counts of all segments and sketches of those inside."""
+    inside = F.when(F.col("segment") % 2 == 1, F.col("x"))
+    seen: dict[int, dict] = {}
+    for r in (tall.groupBy("i", "segment").agg(F.count("x").alias("n"), F.min("x").alias("least"), sketched(inside).alias("s"),
+                                               F.max("x").alias("most")).collect()):
+        if r["segment"] is not None:
+            seen.setdefault(r["i"], {})[r["segment"]] = r
+    out = {}
+    for i, (c, probs) in enumerate(wanted.items()):
+        segments, total = seen.get(i, {}), sum(r["n"] for r in seen.get(i, {}).values())
+        found = []
+        for rank in _ranks(probs, total):
+            before = 0
+            for k in sorted(segments):
+                r = segments[k]
+                if rank < before + r["n"]:
+                    grid = [r["least"], *(r["s"] or []), r["most"]]
+                    found.append(_around(grid, (rank - before) / r["n"]) if len(grid) > 2 else (r["least"], r["most"]))
+                    break
+                before += r["n"]
+        out[c] = _merged(found)
+    return out
+
+
+def _ranks(probs: list[float], n: int) -> list[int]:
+    return sorted({int(f(p * (n - 1))) for p in probs for f in (math.floor, math.ceil)}) if n else []
+
+
+def _interpolated(probs: list[float], n: int, at: dict[int, float]) -> list[float | None]:
+    out = []
+    for p in probs:
+        if not n:
+            out.append(None)
+            continue
+        r = p * (n - 1)
+        low, high = at[math.floor(r)], at[math.ceil(r)]
+        out.append(low if low == high else (math.ceil(r) - r) * low + (r - math.floor(r)) * high)
+    return out
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], by: str | None = None,
-                    bucket: int = BUCKET) -> dict:
+                    inside: int = INSIDE) -> dict:
     """Linear-interpolated quantiles: ``{group: {column: [value, ...]}}`` (group None without ``by``).
 
-    One scan makes a histogram of distinct values, partial counts first. Its values fall into buckets of
-    about ``bucket`` by value; running counts within buckets, on top of the totals of the buckets before,
-    give every value its ranks. It is the same path at every size. Meant for groups whose results fit the driver;
-    ``quantile_table`` leaves them where they are. Nulls and NaNs are left out; a column with no values gives ``[None, ...]``.
+    A mergeable sketch brackets every wanted rank. One further scan counts the values between the brackets and
+    keeps only those inside: some thousandths of the rows, of which equal ones are one, combined before the
+    shuffle. While they are more than ``inside``, the brackets are narrowed by a sketch of what they hold, so
+    the driver gets a bounded number of values at any size. A rank found outside its bracket (the
+    sketch's error is bounded, so none should be) would be searched again there. Nulls and NaNs are left out; a column with no values gives ``[None, ...]``.
+    With ``by``, for groups whose results fit the driver.
     """
+    if by:
+        result: dict = {}
+        for c, probs in wanted.items():
+            for r in quantile_table(df, c, probs, by).collect():
+                if r[by] is not None:
+                    result.setdefault(r[by], {})[c] = list(r["q"])
+        return result
     cols = list(wanted)
-    result: dict = {} if by else {None: {c: [None] * len(p) for c, p in wanted.items()}}
-    hist = _histogram(df, cols, by).persist()
-    try:
-        for r in _picked(hist, wanted, bucket).collect():
-            if by and r["g"]["by"] is None:
-                continue
-            row = result.setdefault(r["g"]["by"] if by else None, {})
-            row[cols[r["i"]]] = list(r["q"])
-    finally:
-        hist.unpersist()
-    return result
-
-
-def quantile_table(df: DataFrame, col: str, probs: list[float], by: str, bucket: int = BUCKET) -> DataFrame:
-    """(``by``, q): the quantiles of one column per group, the null group too, however many groups, as a DataFrame."""
-    return _picked(_histogram(df, [col], by), {col: probs}, bucket).select(F.col("g.by").alias(by), "q")
+    inside = max(inside, 32 * sum(map(len, wanted.values())))  # narrowest brackets hold some 14 values a quantile
+    numbers = df.select(*[_value(c).alias(c) for c in cols])
+    grids = numbers.approxQuantile(cols, [k / _STEPS for k in range(_STEPS + 1)], 1 / _ACCURACY)
+    brackets = {c: _merged([_around(g, p) for p in wanted[c]] if g else []) for c, g in zip(cols, grids)}
+    while True:
+        tall = _tall(df, brackets)
+        kept = F.when(F.col("segment") % 2 == 1, F.col("x")).alias("x")
+        rows = tall.groupBy("i", "segment", kept).agg(F.count("segment").alias("n")).limit(inside + 1).collect()
+        if len(rows) > inside:
+            brackets = _narrowed(tall, brackets, wanted)
+            continue
+        found, missed = {}, {}
+        for i, (c, probs) in enumerate(wanted.items()):
+            mine = sorted((r["segment"], r["x"], r["n"]) for r in rows if r["i"] == i and r["segment"] is not None)
+            total, at, before = sum(n for *_, n in mine), {}, 0
+            ranks = _ranks(probs, total)
+            for _, x, n in mine:
+                at |= {r: x for r in ranks if before <= r < before + n}
+                before += n
+            if None in at.values():
+                missed[c] = None
+            else:
+                found[c] = _interpolated(probs, total, at)
+        if not missed:
+            return {None: found}
+        brackets = {c: b if c in found else [(-math.inf, math.inf)] for c, b in brackets.items()}
+
+
+def quantile_table(df: DataFrame, col: str, probs: list[float], by: str) -> DataFrame:
+    """(``by``, q): the quantiles of one column per group, the null group too, however many groups, as a DataFrame.
+
+    The same two steps with the brackets as a table: a sketch per group brackets every rank, then rows below a
+    bracket are one count and only values inside it are kept. Groups are joined to their brackets, so the plan does not grow with
+    them; a group without values has nulls in ``q``.
+    """
+    # A struct is never null: a null filter on the group, as a join on a column implies, would be pushed below the
+    # projections and repeat every expression behind it there.
+    rows = df.select(F.struct(F.col(by).alias("by")).alias("g"), _value(col).alias("x"))
+    steps = F.array(*[F.lit(k / _STEPS) for k in range(_STEPS + 1)])
+    held = rows.groupBy("g").agg(F.count("x").alias("all"), F.percentile_approx("x", steps, F.lit(_ACCURACY)).alias("grid"))
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)])
+    held = held.withColumn("want", F.explode(asked)).selectExpr(
+        "g", "all", "grid", "want.k as k", "want.p * (all - 1) as r",
+        f"grid[int(greatest(0, floor(want.p * {_STEPS}) - 2))] as low", f"grid[int(least({_STEPS}, ceil(want.p * {_STEPS}) + 2))] as high")
+    held = held.selectExpr("g", "all", "k", "r", "array_max(filter(grid, v -> v < low)) as low", "array_min(filter(grid, v -> v > high)) as high")
+    held = held.groupBy("g", "all").agg(F.sort_array(F.collect_list(F.struct("k", "r", "low", "high"))).alias("brackets"))
+    near = rows.join(held, "g").select("g", "x", F.explode("brackets").alias("b")).where("x is null or b.high is null or x <= b.high")
+    inside = F.when(F.col("b.low").isNull() | (F.col("x") >= F.col("b.low")), F.col("x"))
+    counts = near.groupBy("g", F.col("b.k").alias("k"), F.col("b.r").alias("r"), inside.alias("x")).agg(F.count(near["x"]).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("g", "k").orderBy(F.asc_nulls_first("x")))
+    ends = counts.withColumn("upto", upto).groupBy("g", "k", "r").agg(
+        F.min(F.when(F.col("upto") > F.floor("r"), F.col("x"))).alias("lo"), F.min(F.when(F.col("upto") > F.ceil("r"), F.col("x"))).alias("hi"))
+    value = F.expr("if(lo = hi, lo, (ceil(r) - r) * lo + (r - floor(r)) * hi)")
+    found = ends.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", value.alias("v")))).alias("q"))
+    return found.select(F.col("g.by").alias(by), F.col("q.v").alias("q"))
 
 
 def exact_medians(df: DataFrame, cols: list[str], by: str | None = None) -> dict:

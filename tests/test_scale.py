@@ -1,6 +1,7 @@
 """The narrowing, cutting and ordering helpers against brute force."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -21,11 +22,10 @@ def values(spark):
     return rows, spark.createDataFrame(rows, "g string, x double").repartition(5).persist()
 
 
-@pytest.mark.parametrize("bucket", [50, 500_000])
-def test_quantiles(values, bucket):
+def test_quantiles(values):
     rows, df = values
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    found = selection.exact_quantiles(df, {"x": probs}, by="g", bucket=bucket)
+    found = selection.exact_quantiles(df, {"x": probs}, by="g")
     assert set(found) == {"a", "b", "c"}
     for g in "ab":
         want = np.quantile([x for k, x in rows if k == g], probs)
@@ -33,16 +33,54 @@ def test_quantiles(values, bucket):
     assert found["c"]["x"] == [4.0] * len(probs)
 
 
-@pytest.mark.parametrize("bucket", [20, 500_000])
-def test_quantiles_of_two_columns(values, bucket):
+@pytest.mark.parametrize("inside", [1, 100_000])
+def test_quantiles_of_two_columns(values, inside):
     rows, df = values
     both = df.withColumn("y", F.col("x") * 2)
-    found = selection.exact_quantiles(both, {"x": [0.5], "y": [0.5, 0.3]}, bucket=bucket)[None]
+    found = selection.exact_quantiles(both, {"x": [0.5], "y": [0.5, 0.3]}, inside=inside)[None]
     xs = [x for _, x in rows if x is not None and x == x]
     assert found["x"][0] == pytest.approx(np.median(xs), abs=1e-12)
     assert found["y"] == pytest.approx([2 * np.median(xs), 2 * np.quantile(xs, 0.3)], abs=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    [1.0], [2.0, 1.0], [5.0, 1.0, 3.0], [0.0, -0.0, 1.0], [7.0] * 50, [float(i // 7) for i in range(40)],
+    [float("inf"), -float("inf"), 0.0, 1.0, 2.0], [1e300, -1e300, 5e-324, 0.0], [float(i * i) for i in range(1023)]])
+def test_quantiles_of_few_values(spark, values):
+    df = spark.createDataFrame([("g", v) for v in values] + [("g", None), ("n", None)], "g string, x double").repartition(3)
+    probs = [0.0, 0.01, 1 / 3, 0.5, 0.99, 1.0]
+    ordered = sorted(values)
+    want = []
+    for p in probs:
+        r = p * (len(values) - 1)
+        low, high = ordered[math.floor(r)], ordered[math.ceil(r)]
+        want.append(low if low == high else (math.ceil(r) - r) * low + (r - math.floor(r)) * high)
+    assert selection.exact_quantiles(df, {"x": probs})[None]["x"] == pytest.approx(want, rel=1e-12)
+    grouped = selection.exact_quantiles(df, {"x": probs}, by="g")
+    assert grouped["g"]["x"] == pytest.approx(want, rel=1e-12) and grouped["n"]["x"] == [None] * len(probs)
+
+
+def test_quantiles_narrow_until_the_driver_can_take_them(spark):
+    """A spread-out column whose brackets hold more than is allowed, beside hot values."""
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(7)).alias("x")).persist()
+    xs = sorted(r[0] for r in df.collect())
+    probs = [i / 10 for i in range(11)]
+    calls = []
+    real = selection._narrowed
+    selection._narrowed = lambda *a: calls.append(1) or real(*a)
+    try:
+        found = selection.exact_quantiles(df, {"x": probs}, inside=1)[None]["x"]
+    finally:
+        selection._narrowed = real
+    assert calls and found == pytest.approx(list(np.quantile(xs, probs)), abs=1e-12)
+
+
+def test_a_wrong_bracket_is_searched_again(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("double(id) as x")
+    monkeypatch.setattr(selection, "_around", lambda grid, p: (grid[0], grid[1]))
+    assert selection.exact_quantiles(df, {"x": [0.5]})[None]["x"] == [2499.5]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert selection.exact_medians(df, ["x"]) == {"x": None}
