@@ -46,6 +46,11 @@ def clean(df: DataFrame) -> DataFrame:
     return drop_null_rows(drop_all_null_columns(df))
 
 
+def clean_confidence(df: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """The order of the calibration analyses: empty columns go, then only rows without a confidence."""
+    return drop_null_rows(drop_all_null_columns(df), [confidence])
+
+
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Infinities become null, nulls become the column's exact median over the whole table.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import ITEMS, LEFT, RIGHT
 from ..operators import enrich
-from ..session import tune
+from ..operators.ledger import Ledger
+from ..session import shared_folder, tune
 from ..sources.events import (
     EVENT_STEP_LEFT, EVENT_STEP_RIGHT, FIRST_MODULUS_LEFT, FIRST_MODULUS_RIGHT, USER_STEP_LEFT,
     USER_STEP_RIGHT, trials_from_tables,
@@ -52,6 +53,12 @@ def cons(trials: DataFrame) -> DataFrame:
     return enrich.enrich(trials.where(F.col("source") == "cons"))
 
 
+def ledger(trials: DataFrame, run: str) -> Ledger:
+    """Model scores of this application: queries that search the same rows for the same model share them."""
+    spark = trials.sparkSession
+    return Ledger(spark, f"{shared_folder(spark).rstrip('/')}/scores-{spark.sparkContext.applicationId}", run)
+
+
 # --- SQL side ---------------------------------------------------------------
 
 def q6(expr: str, name: str) -> str:

@@ -9,7 +9,7 @@ from ..operators import enrich, sampling, scalars, summaries
 from ..plans import clustered_lab
 from ..sources import events, layouts
 from ..sources.sinks import STAT_COLUMNS, UNIFIED_COLUMNS
-from .base import cons, lab, q6, query, r6, rounded, sql
+from .base import cons, lab, ledger, q6, query, r6, rounded, sql
 from .sources import _ROUNDED_PAIRS, _STAT_VALUES, _STATS_SQL, _UNIFIED_SQL
 
 
@@ -129,8 +129,7 @@ def interaction_terms(trials):
 
 @query("c17_residual")
 def residual(trials):
-    grid = {"numTrees": [20], "maxDepth": [5], "minInstancesPerNode": [1]}
-    return clustered_lab(lab(trials), grid, folds=2).select("trial_id", "residual")
+    return clustered_lab(lab(trials), ledger=ledger(trials, "advanced")).select("trial_id", "residual")
 
 
 # --- stacking and joins --------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fits, models, sampling
+from ..operators import fits, sampling
 from ..operators.enrich import unified_stats
 from .base import lab, query, rounded, sql
 from .features import fold_sql, split_sql
@@ -46,16 +46,6 @@ def sample_n(trials):
     return sampling.sample_n(trials.select("trial_id", "subject", "choice"), 2000)
 
 
-@query("w6_top_importances")
-def top_importances(trials):
-    from ..operators import enrich
-    table, cols = enrich.features(lab(trials), "lab", ["trial_id", "choice"])
-    split = sampling.stratified_split(table, "choice")
-    grid = {"numTrees": [20], "maxDepth": [6], "minInstancesPerNode": [1]}
-    fitted = models.grid_forest(split, cols, "choice", grid=grid, folds=2)
-    return models.top_importances(models.feature_importance(fitted, trials.sparkSession))
-
-
 def leak_grid_sql(leaks: list[float]) -> str:
     return " union all ".join(
         f"select {i} as grid_id, {leak!r}::double as leak, avg(case when choice = "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as fx
 from ..functions.tails import t_quantile
-from ..operators import binning, enrich, sampling, summaries
+from ..operators import binning, cleaning, enrich, sampling, summaries
 from ..operators.selection import exact_medians
 from .base import bins_sql, cons, lab, q6, query, r6, rounded, sql, t_two_sided_sql
 from .sources import corr_sql
@@ -139,6 +139,31 @@ def paired_ttest_gap(trials):
                    "mean_gap_hard", "mean_difference")
 
 
+_GAPPY_SQL = sql(f"""
+with s as (select subject, avg(gap) filter (where segment = 'easy') as e,
+    avg(gap) filter (where segment = 'hard') as h from gap where subject is not null group by subject),
+  m as (select count(*) as n, avg(e) as e, avg(h) as h, avg(h - e) / (stddev_samp(h - e) / sqrt(count(*))) as t
+    from s where e is not null and h is not null),
+  p as materialized (select *, {t_two_sided_sql('m.t', '(m.n - 1)')} as p from m)
+select {q6('t', 't_statistic')}, {q6('p', 'p_value')}, n as n_subjects, {q6('e', 'mean_gap_easy')},
+  {q6('h', 'mean_gap_hard')}, {q6('h - e', 'mean_difference')}, p < 0.05 as significant from p""", "gap").replace(
+    "trials as (", "whole as (", 1).replace("enr as materialized (", """trials as (
+  select * replace (case when trial_id % 97 = 0 then null else L3 end as L3, case when trial_id % 7 = 0 then null else subject end as subject,
+    case when trial_id % 89 = 0 then null else confidence end as confidence) from whole),
+enr as materialized (""", 1).replace("where source = 'cons'", "where source = 'cons' and confidence is not null", 1)
+
+
+@query("d13_paired_ttest_gap_gappy", _GAPPY_SQL)
+def paired_ttest_gap_gappy(trials):
+    """Only rows without a confidence are dropped: those with a missing item or subject stay in the quantities they have."""
+    trial = F.col("trial_id")
+    rows = trials.where(F.col("source") == "cons").withColumns({
+        "L3": F.when(trial % 97 != 0, F.col("L3")), "subject": F.when(trial % 7 != 0, F.col("subject")),
+        "confidence": F.when(trial % 89 != 0, F.col("confidence")), "empty": F.lit(None).cast("double")})
+    found = summaries.paired_ttest_gap(enrich.enrich(cleaning.clean_confidence(rows)))
+    return rounded(found, "t_statistic", "p_value", "mean_gap_easy", "mean_gap_hard", "mean_difference")
+
+
 @query("d14_fold_ci", sql(f"""
 with f as (select source as model, ntile(5) over (partition by choice
       order by md5(trial_id || ':10'), trial_id) as fold, is_correct from enr),
