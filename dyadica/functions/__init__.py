@@ -5,4 +5,4 @@ from .sequence import (  # noqa: F401
     pair_winner_balance, sequence_steps, side_mean, side_variance, sigmoid, stat_contrasts,
     tie_correct,
 )
-from .tails import normal_two_sided, t_quantile, t_two_sided  # noqa: F401
+from .tails import normal_two_sided, t_quantile, t_two_sided, wide_t_quantile  # noqa: F401

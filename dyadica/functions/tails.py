@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import cache
+from statistics import NormalDist
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -41,6 +43,7 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
+@cache
 def t_quantile(p: float, df: float) -> float:
     """Upper quantile for p >= 0.5, by bisection on the tail."""
     if p < 0.5:
@@ -59,3 +62,19 @@ def t_quantile(p: float, df: float) -> float:
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
+
+
+def wide_t_quantile(p: float, df):
+    """The quantile for 30 and more degrees of freedom, right to seven digits; ``df`` may be a column.
+
+    Expansion around the normal quantile z in powers of 1 / df.
+    """
+    z = NormalDist().inv_cdf(p)
+    # Coefficients of the powers of z, highest first, with the divisor of each order.
+    orders = [([1, 1], 4), ([5, 16, 3], 96), ([3, 19, 17, -15], 384), ([79, 776, 1482, -1920, -945], 92160)]
+    out = z
+    for k, (coefficients, divisor) in enumerate(orders, 1):
+        top = 2 * len(coefficients) - 1
+        value = sum(c * z ** (top - 2 * i) for i, c in enumerate(coefficients)) / divisor
+        out = out + value / df ** k
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import PAIR_FEATURES, calibration_gap
-from ..functions.tails import t_quantile, t_two_sided
+from ..functions.tails import t_quantile, t_two_sided, wide_t_quantile
 from .binning import exact_median, split_easy_hard
 from .cleaning import impute_median
 from .ordered import with_running_total
@@ -17,6 +17,7 @@ from .scalars import confidence_norm
 
 STAT_FEATURES = ["mean_left", "mean_right", "var_left", "var_right", "diff_mean", "mean_var", "diff_var"]
 CORRELATION_COLUMNS = [*PAIR_FEATURES, "EV_diff", "complexity"]
+_EXACT_FOLDS = 32
 
 # The five interpretations of a cluster and the small-cluster note.
 BIAS_LEFT = "Left overestimation / Anchoring to left option"
@@ -144,13 +145,15 @@ def paired_ttest_gap(enriched: DataFrame, subject: str = "subject", min_subjects
 def fold_ci(scores: DataFrame, by: str = "model", score: str = "score", alpha: float = 0.95) -> DataFrame:
     """Mean and t-interval of fold scores, one row per model (a single fold has margin 0).
 
-    The quantile depends on the number of folds alone: only the distinct numbers come to the driver.
+    The quantile depends on the number of folds alone: up to ``_EXACT_FOLDS`` it is a literal, beyond that its
+    expansion, so nothing comes to the driver and the scores are computed once.
     """
     grouped = scores.groupBy(F.col(by).cast("string").alias(by)).agg(
         F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("_sd"))
-    factor = F.lit(0.0)
-    for n in sorted(r["n"] for r in grouped.select("n").where("n > 1").distinct().collect()):
-        factor = F.when(F.col("n") == n, t_quantile((1 + alpha) / 2, n - 1) / math.sqrt(n)).otherwise(factor)
+    p, freedom = (1 + alpha) / 2, F.col("n") - 1
+    known = F.array(*[F.lit(t_quantile(p, df)) for df in range(1, _EXACT_FOLDS)])
+    quantile = F.when(F.col("n") <= _EXACT_FOLDS, F.get(known, freedom.cast("int") - 1)).otherwise(wide_t_quantile(p, freedom))
+    factor = F.when(F.col("n") > 1, quantile / F.sqrt("n")).otherwise(0.0)
     return (grouped.withColumn("margin", F.coalesce(F.col("_sd"), F.lit(0.0)) * factor)
             .select(by, "n", "mean", "margin", (F.col("mean") - F.col("margin")).alias("low"),
                     (F.col("mean") + F.col("margin")).alias("high")))

@@ -167,3 +167,18 @@ def test_point_biserial_fills_infinities(spark):
     pairs = [(y, x if x is not None and np.isfinite(x) else median) for y, x in rows if y is not None]
     assert found["n"] == len(pairs)
     assert found["r"] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1], abs=1e-12)
+
+
+def test_fold_intervals_of_many_folds(spark):
+    from dyadica.functions.tails import t_quantile, wide_t_quantile
+    for df in (31, 40, 100, 5000):
+        assert wide_t_quantile(0.975, df) == pytest.approx(t_quantile(0.975, df), rel=1e-7)
+    sizes = {"one": 1, "two": 2, "five": 5, "edge": 32, "more": 33, "many": 400}
+    rng = random.Random(8)
+    rows = [(m, rng.random()) for m, n in sizes.items() for _ in range(n)] + [("none", None)]
+    got = {r["model"]: r for r in summaries.fold_ci(spark.createDataFrame(rows, "model string, score double")).collect()}
+    for m, n in sizes.items():
+        mine = [s for k, s in rows if k == m]
+        want = t_quantile(0.975, n - 1) * np.std(mine, ddof=1) / math.sqrt(n) if n > 1 else 0.0
+        assert got[m]["n"] == n and got[m]["margin"] == pytest.approx(want, rel=1e-7)
+    assert got["none"]["n"] == 0 and got["none"]["mean"] is None
