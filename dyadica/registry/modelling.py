@@ -50,9 +50,76 @@ def gee_step(trials):
     return rounded(sums, *[c for c in sums.columns if c not in ("Subject", "n")])
 
 
-@query("e2_fit_gee")
+def _solved(matrix: list[list[str]], rights: dict[str, list[str]], source: str, keep: list[str]) -> str:
+    """SQL: the systems ``matrix`` x = right over the rows of ``source``, by elimination; each right is an array column.
+
+    ``matrix`` and ``rights`` are expressions over ``source``; a positive definite matrix needs no pivoting.
+    """
+    p = len(matrix)
+    cells = [f"{matrix[j][k]} as a{j}{k}" for j in range(p) for k in range(p)]
+    cells += [f"{v} as r_{name}{j}" for name, right in rights.items() for j, v in enumerate(right)]
+    text = f"(select {', '.join(keep + cells)} from {source})"
+    for c in range(p):
+        out = []
+        for j in range(p):
+            factor = f"(a{j}{c} / a{c}{c})"
+            for k in range(c + 1, p):
+                out.append(f"a{j}{k}" + (f" - {factor} * a{c}{k}" if j != c else "") + f" as a{j}{k}")
+            for name in rights:
+                out.append(f"r_{name}{j}" + (f" - {factor} * r_{name}{c}" if j != c else "") + f" as r_{name}{j}")
+            out.append(f"a{j}{j} as a{j}{j}" if j <= c else f"0 as z{c}{j}")
+        text = f"(select {', '.join(keep + out)} from {text})"
+    solved = [f"[{', '.join(f'r_{name}{j} / a{j}{j}' for j in range(p))}] as {name}" for name in rights]
+    return f"select {', '.join(keep + solved)} from {text}"
+
+
+def _normal_sql(z: str, steps: int = 4000) -> str:
+    """Two-sided p of a normal z by Simpson's rule over [0, |z|]."""
+    top = f"least(abs({z}), 12.0)"
+    return (f"(select greatest(0.0, 1 - 2 * sum((case when i in (0, {steps}) then 1 when i % 2 = 1 then 4 else 2 end) "
+            f"* exp(-0.5 * pow({top} * i / {steps}.0, 2)) / sqrt(2 * pi())) * {top} / {steps}.0 / 3) from range({steps} + 1) g(i))")
+
+
+def _gee_sql(steps: int = 9) -> str:
+    """The published equations as a chain of steps: sums by subject, totals, a 4x4 solve and the next correlation."""
+    parts = ["x as materialized (select choice, subject, abs(EV_diff) as s, complexity as c from lab)",
+             "b0 as materialized (select [0.0, 0.0, 0.0, 0.0]::double[] as b, 0.0::double as alpha, 0.0::double as moved)"]
+    pairs = [(j, k) for j in range(4) for k in range(j, 4)]
+    full = [[f"b{min(j, k)}{max(j, k)}" for k in range(4)] for j in range(4)]
+    for i in range(steps):
+        eta = " + ".join(f"b[{j + 1}] * {x}" for j, x in enumerate(_X))
+        parts.append(f"m{i} as materialized (select x.*, alpha, 1 / (1 + exp(-({eta}))) as mu from x, b{i})")
+        sums = ", ".join([f"sum(w * {x}) as s{j}, sum(w * {x} * e) as g{j}" for j, x in enumerate(_X)]
+                         + [f"sum(w * w * {_X[j]} * {_X[k]}) as h{j}{k}" for j, k in pairs])
+        parts.append(f"""s{i} as materialized (select alpha, alpha / (1 + (n - 1) * alpha) as q, * exclude (alpha) from (
+    select any_value(alpha) as alpha, count(*) as n, sum(e) as t, sum(e * e) as ee, {sums}
+    from (select *, sqrt(mu * (1 - mu)) as w, (choice - mu) / sqrt(mu * (1 - mu)) as e from m{i}) group by subject))""")
+        u = [f"((g{j} - q * s{j} * t) / (1 - alpha))" for j in range(4)]
+        totals = ([f"sum({u[j]}) as u{j}" for j in range(4)]
+                  + [f"sum((h{j}{k} - q * s{j} * s{k}) / (1 - alpha)) as b{j}{k}" for j, k in pairs]
+                  + [f"sum({u[j]} * {u[k]}) as v{j}{k}" for j, k in pairs])
+        parts.append(f"t{i} as materialized (select sum(n) as n, sum(ee) as ee, sum((t * t - ee) / 2) as crossed, "
+                     f"sum(n * (n - 1) / 2) as pairs, {', '.join(totals)} from s{i})")
+        units = {f"e{k}": [str(float(j == k)) for j in range(4)] for k in range(4)} if i == steps - 1 else {}
+        solve = _solved(full, {"move": [f"u{j}" for j in range(4)], **units}, f"t{i}", ["ee", "n", "crossed", "pairs"] + [f"v{j}{k}" for j, k in pairs])
+        parts.append(f"d{i} as materialized ({solve})")
+        step = ", ".join(f"b[{j + 1}] + move[{j + 1}]" for j in range(4))
+        parts.append(f"b{i + 1} as materialized (select [{step}] as b, case when pairs > 4 then crossed / (ee / (n - 4)) / (pairs - 4) else 0 end as alpha, "
+                     f"greatest({', '.join(f'abs(move[{j + 1}])' for j in range(4))}) as moved from b{i}, d{i})")
+    last = steps - 1
+    spread = [" + ".join(f"e{j}[{a + 1}] * v{min(a, c)}{max(a, c)} * e{j}[{c + 1}]" for a in range(4) for c in range(4)) for j in range(4)]
+    rows = " union all ".join(
+        f"select '{term}' as term, b[{j + 1}] as coef, sqrt({spread[j]}) as se, alpha, moved from b{steps}, d{last}" for j, term in enumerate(fits.GEE_TERMS))
+    parts.append(f"r as materialized (select *, coef / se as z from ({rows}))")
+    return "with " + ",\n".join(parts) + f"""
+select term, {q6('coef', 'coef')}, {q6('se', 'robust_se')}, {q6('z', 'z')}, {q6(_normal_sql('r.z'), 'p_value')},
+  {q6('alpha', 'alpha')}, moved < 1e-8 as converged from r"""
+
+
+@query("e2_fit_gee", sql(_gee_sql(), "lab"))
 def fit_gee(trials):
-    return fits.fit_gee(lab(trials))
+    found = fits.fit_gee(lab(trials)).drop("iterations")
+    return rounded(found, "coef", "robust_se", "z", "p_value", "alpha")
 
 
 _P = "1 / (1 + exp(-0.1 * EV_diff))"
@@ -71,9 +138,29 @@ def psychometric_step(trials):
     return rounded(sums, "kk", "kx", "xx", "rk", "rx", "sse")
 
 
-@query("e3_fit_psychometric")
+def _psychometric_sql(steps: int = 25) -> str:
+    """Least squares by a chain of slightly damped steps; rows of one segment and evidence are folded first."""
+    parts = ["f as materialized (select segment, EV_diff as x, count(*) as n, sum(choice) as sy, sum(choice * choice) as syy from seg group by all)",
+             "p0 as materialized (select distinct segment, 0.1::double as k, 0.0::double as x0, 1.0::double as moved from f)"]
+    for i in range(steps):
+        parts.append(f"""q{i} as materialized (
+  select segment, k, x0, sum(n * jk * jk) as kk, sum(n * jk * jx) as kx, sum(n * jx * jx) as xx, sum(jk * r) as rk, sum(jx * r) as rx
+  from (select *, p * (1 - p) * (x - x0) as jk, -p * (1 - p) * k as jx, sy - n * p as r
+    from (select f.*, k, x0, 1 / (1 + exp(-greatest(-500, least(500, k * (x - x0))))) as p from f join p{i} using (segment)))
+  group by all)""")
+        lhs = [["kk * 1.000001", "kx"], ["kx", "xx * 1.000001"]]
+        parts.append(f"e{i} as materialized ({_solved(lhs, {'move': ['rk', 'rx']}, f'q{i}', ['segment', 'k', 'x0'])})")
+        parts.append(f"p{i + 1} as materialized (select segment, k + move[1] as k, x0 + move[2] as x0, greatest(abs(move[1]), abs(move[2])) as moved from e{i})")
+    return "with " + ",\n".join(parts) + f"""
+select segment, cast(sum(n) as bigint) as n, {q6('any_value(k)', 'k')}, {q6('any_value(x0)', 'x0')},
+  {q6('sum(syy - 2 * p * sy + n * p * p)', 'sse')}, any_value(moved) < 1e-8 as converged
+from (select f.*, k, x0, moved, 1 / (1 + exp(-greatest(-500, least(500, k * (x - x0))))) as p from f join p{steps} using (segment))
+group by segment"""
+
+
+@query("e3_fit_psychometric", sql(_psychometric_sql(), "seg"))
 def fit_psychometric(trials):
-    return fits.fit_psychometric(binning.split_easy_hard(lab(trials)))
+    return rounded(fits.fit_psychometric(binning.split_easy_hard(lab(trials))).drop("iterations"), "k", "x0", "sse")
 
 
 @query("e4_leaky_scores", sql(
