@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .selection import exact_medians
@@ -51,19 +52,33 @@ def clean_confidence(df: DataFrame, confidence: str = "confidence") -> DataFrame
     return drop_null_rows(drop_all_null_columns(df), [confidence])
 
 
-def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Infinities become null, nulls become the column's exact median over the whole table.
+def bounded(c: str) -> Column:
+    """The column as a number, null where it is infinite or no number."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)   # false for +-inf and for NaN
+
+
+def gap_counts(cols: list[str]) -> list[Column]:
+    """Aggregates that ``gaps_in`` reads: all rows, and the usable values of every column.
 
-    One counting pass finds the columns that have anything to fill; only those get a
-    median and a replacement expression.
+    They can ride on a pass that is run anyway: another aggregate, or the ``observe`` of a table that is written.
     """
-    def bounded(c):
-        x = F.col(c).cast("double")
-        return F.when(F.abs(x) < F.lit(float("inf")), x)   # false for +-inf and for NaN
+    return [F.count(F.lit(1)).alias("_all"), *[F.count(bounded(c)).alias(f"_have_{i}") for i, c in enumerate(cols)]]
+
+
+def gaps_in(seen: Mapping | Row, cols: list[str]) -> list[str]:
+    """The columns with anything to fill."""
+    return [c for i, c in enumerate(cols) if seen[f"_have_{i}"] < seen["_all"]]
 
-    seen = df.agg(F.count(F.lit(1)).alias("_all"),
-                  *[F.count(bounded(c)).alias(str(i)) for i, c in enumerate(cols)]).first()
-    gaps = [c for i, c in enumerate(cols) if seen[str(i)] < seen["_all"]]
+
+def impute_median(df: DataFrame, cols: list[str], seen: Mapping | Row | None = None) -> DataFrame:
+    """Infinities become null, nulls become the column's exact median over the whole table.
+
+    Only columns that have anything to fill get a median and a replacement expression. ``seen`` are the
+    ``gap_counts`` of the table, where another pass has them already; else one counting pass finds them.
+    """
+    seen = seen or df.agg(*gap_counts(cols)).first()
+    gaps = gaps_in(seen, cols)
     finite = df.withColumns({c: bounded(c) if c in gaps else F.col(c).cast("double") for c in cols})
     if not gaps:
         return finite

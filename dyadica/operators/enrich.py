@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -123,11 +124,11 @@ def feature_columns(layout: str, columns: list[str]) -> list[str]:
     return [*base, *PAIR_FEATURES]
 
 
-def features(enriched: DataFrame, layout: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """Median-filled feature columns next to the ``keep`` columns."""
+def features(enriched: DataFrame, layout: str, keep: list[str], seen: Mapping | None = None) -> tuple[DataFrame, list[str]]:
+    """Median-filled feature columns next to the ``keep`` columns; ``seen`` are their ``gap_counts`` where known."""
     cols = feature_columns(layout, enriched.columns)
     table = enriched.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
-    return impute_median(table, cols), cols
+    return impute_median(table, cols, seen), cols
 
 
 def one_hot_source(df: DataFrame, col: str = "dataset_source", prefix: str = "src_", most: int = 200) -> DataFrame:

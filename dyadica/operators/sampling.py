@@ -97,5 +97,8 @@ def split_members(df: DataFrame, split: str, col: str = "split") -> DataFrame:
 
 
 def members_of(df: DataFrame, members: DataFrame, id_col: str = "trial_id", keep: bool = True) -> DataFrame:
-    """Rows whose id is (or is not) in a stored membership table."""
+    """Rows whose id is (or is not) in a stored membership table.
+
+    Where both were stored with ``save_bucketed``, neither is shuffled.
+    """
     return df.join(members.select(id_col), id_col, "left_semi" if keep else "left_anti")

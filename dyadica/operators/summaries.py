@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequence import PAIR_FEATURES, calibration_gap
 from ..functions.tails import t_quantile, t_two_sided, wide_t_quantile
 from .binning import exact_median, split_easy_hard
-from .cleaning import impute_median
+from .cleaning import gap_counts, gaps_in, impute_median
 from .ordered import with_running_total
 from .sampling import infer_subject
 from .scalars import confidence_norm
@@ -45,13 +46,21 @@ def rows_by_source(uni: DataFrame, col: str = "dataset_source", total: str = "to
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson correlations of median-filled columns, long form, in one aggregate."""
+    """Pearson correlations of median-filled columns, long form.
+
+    The aggregate counts what is missing as well, so a table without gaps is done after one pass.
+    """
     cols = [c for c in (cols or CORRELATION_COLUMNS) if c in df.columns]
     if len(cols) < 2:
         raise ValueError("a correlation needs at least two columns")
-    filled = impute_median(df.select(*cols), cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = filled.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    measures = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
+    plain = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    seen = plain.agg(*measures, *gap_counts(cols)).first()
+    if gaps_in(seen, cols):
+        seen = impute_median(plain, cols, seen).agg(*measures).first()
+    row = df.sparkSession.createDataFrame([tuple(seen[f"{a}|{b}"] for a, b in pairs)], T.StructType(
+        [T.StructField(f"{a}|{b}", T.DoubleType()) for a, b in pairs]))
     cells = [F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
                       F.col(f"`{a}|{b}`").alias("r"))
              for a, b in pairs for x, y in ({(a, b), (b, a)})]
@@ -65,9 +74,11 @@ def point_biserial(stats: DataFrame, y: str = "response_left",
     Infinities and gaps of a statistic become its median first; rows without a response do not count.
     """
     cols = cols or STAT_FEATURES
-    filled = impute_median(stats.select(F.col(y).cast("double").alias(y), *cols), cols)
-    row = filled.agg(*[e for c in cols for e in (
-        F.count(F.when(F.col(c).isNotNull(), F.col(y))).alias(f"n:{c}"), F.corr(y, c).alias(c))]).first()
+    plain = stats.select(F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in cols])
+    measures = [e for c in cols for e in (F.count(F.when(F.col(c).isNotNull(), F.col(y))).alias(f"n:{c}"), F.corr(y, c).alias(c))]
+    row = plain.agg(*measures, *gap_counts(cols)).first()  # one pass, unless something is missing
+    if gaps_in(row, cols):
+        row = impute_median(plain, cols, row).agg(*measures).first()
     out = []
     for c in cols:
         r, n, t, p = row[c], row[f"n:{c}"], None, None

@@ -1,7 +1,8 @@
 """Whole runs: raw trial files in, written tables and reports out.
 
 A run reads the three raw files of a folder, numbers their rows, cleans and enriches every source, writes the
-preprocessed tables and takes all that follows from what it wrote, so raw files are scanned and features made once.
+preprocessed tables and takes all that follows from what it wrote, so raw files are scanned and features made once. Missing
+values are counted by the pass that writes the features, so filling them needs no scan of its own where nothing is missing.
 Reports are JSON lines of metrics, tables parquet. Scores of searched models go to a ledger below the output folder,
 so a run that was cut off and is started again fits only what is missing.
 """
@@ -10,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, enrich, models, sampling, summaries
+from ..operators import binning, cleaning, enrich, models, sampling, summaries
 from ..operators.ledger import Ledger
 from ..sources import layouts, sinks
 from .reports import METRICS, advanced_report, dataset_table, merge_report, run_bundle, source_rows, stacked_trials
@@ -47,17 +48,19 @@ def evidence_run(spark: SparkSession, folder: str, out: str, grids: dict | None
                  workers: int = 8) -> DataFrame:
     """Preprocessed trials, searched models and their reports for every source and for the stack of all.
 
-    Writes ``preprocessed/<dataset>``, ``<dataset>/metrics``, ``<dataset>/correlations``, for lab also residuals with
+    Writes ``preprocessed/<dataset>``, ``<dataset>/metrics``, ``<dataset>/split``, ``<dataset>/correlations``, for lab also residuals with
     clusters and economic loss per trial, binned tables, importances and the two-dimensional map, and ``summary``, which is returned.
     """
     trials = _kept(read_sources(spark, folder), f"{out}/trials")
     ledger = Ledger(spark, f"{out}/scores")
     parts = []
     for dataset in FILES:
-        rows = _kept(enrich.enrich(source_rows(trials, dataset)), f"{out}/preprocessed/{dataset}")
-        table, cols = enrich.features(rows, dataset, ["trial_id", "choice", "normative_choice"])
+        enriched, counted = enrich.enrich(source_rows(trials, dataset)), Observation()
+        columns = enrich.feature_columns(dataset, enriched.columns)
+        rows = _kept(enriched.observe(counted, *cleaning.gap_counts(columns)), f"{out}/preprocessed/{dataset}")
+        table, cols = enrich.features(rows, dataset, ["trial_id", "choice", "normative_choice"], counted.get)
         metrics, fitted = run_bundle(table, cols, dataset, grids, folds, workers=workers, ledger=ledger.of(dataset))
-        parts.append(_reported(metrics, table, f"{out}/{dataset}"))
+        parts.append(_reported(metrics, table, f"{out}/{dataset}", folds))
         if dataset == "lab":
             _lab_tables(rows, cols, fitted["forest"], out)
     stack = _kept(enrich.unified_trials(stacked_trials(trials)), f"{out}/preprocessed/combined")
@@ -68,13 +71,15 @@ def evidence_run(spark: SparkSession, folder: str, out: str, grids: dict | None
     sizes = summaries.rows_by_source(uni).select(
         F.lit("combined").alias("dataset"), F.lit("rows").alias("model"), F.col("dataset_source").alias("metric"),
         F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("label"))
-    parts.append(_reported(metrics.unionByName(sizes), table, f"{out}/combined"))
+    parts.append(_reported(metrics.unionByName(sizes), table, f"{out}/combined", folds))
     summary = reduce(DataFrame.unionByName, parts)
     sinks.write_report(summary, f"{out}/summary")
     return summary
 
 
-def _reported(metrics: DataFrame, table: DataFrame, path: str) -> DataFrame:
+def _reported(metrics: DataFrame, table: DataFrame, path: str, folds: int) -> DataFrame:
+    split = sampling.train_folds(sampling.stratified_split(table, "choice"), "choice", folds)  # as the bundle cuts it
+    sinks.write_trials(split.select("trial_id", "split", "fold"), f"{path}/split")
     sinks.write_report(metrics, f"{path}/metrics")
     sinks.write_corr(summaries.correlation_matrix(table), f"{path}/correlations")
     return metrics.sparkSession.read.schema(METRICS).json(f"{path}/metrics")

@@ -4,6 +4,6 @@ from .layouts import (  # noqa: F401
     resolve_response, resolve_sequences, strip_columns,
 )
 from .sinks import (  # noqa: F401
-    UNIFIED_COLUMNS, STAT_COLUMNS, write_corr, write_report, write_stats, write_trials,
+    UNIFIED_COLUMNS, STAT_COLUMNS, save_bucketed, write_corr, write_report, write_stats, write_trials,
     write_unified,
 )

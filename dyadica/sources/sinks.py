@@ -44,3 +44,13 @@ def write_report(metrics: DataFrame, path: str) -> None:
 def write_corr(corr: DataFrame, path: str) -> None:
     """Correlations in long form, one (feature_a, feature_b, r) row per pair."""
     _write(corr.select("feature_a", "feature_b", "r"), path, "csv")
+
+
+def save_bucketed(df: DataFrame, table: str, by: str = "trial_id", buckets: int = 64) -> DataFrame:
+    """``df`` as a catalogue table in buckets of ``by``, sorted inside, and that table.
+
+    Tables of one bucket number are joined on ``by`` without an exchange: trials, splits and scores that are
+    stored like this meet bucket by bucket.
+    """
+    df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -77,6 +77,9 @@ def test_evidence_run_and_its_second_start(spark, folder, lab_rows, tmp_path, mo
     lab = enrich.enrich(plans.reports.source_rows(plans.read_sources(spark, folder), "lab"))
     assert bins == pytest.approx({r["bin"]: r["accuracy"] for r in binning.accuracy_by_complexity(lab).collect()})
     assert spark.read.option("header", True).csv(f"{out}/cons/correlations").count() == 49
+    for name in (*runs.FILES, "combined"):
+        sizes = {r["split"]: r["count"] for r in spark.read.parquet(f"{out}/{name}/split").groupBy("split").count().collect()}
+        assert sizes == {s: values[name, "split", f"n_{s}"] for s in ("train", "test")}
     fits = []
     real = models.shared_scores
     monkeypatch.setattr(models, "shared_scores", lambda *a: fits.append(a[0]) or real(*a))

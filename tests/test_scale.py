@@ -182,3 +182,42 @@ def test_fold_intervals_of_many_folds(spark):
         want = t_quantile(0.975, n - 1) * np.std(mine, ddof=1) / math.sqrt(n) if n > 1 else 0.0
         assert got[m]["n"] == n and got[m]["margin"] == pytest.approx(want, rel=1e-7)
     assert got["none"]["n"] == 0 and got["none"]["mean"] is None
+
+
+@pytest.mark.parametrize("gap", [None, float("inf"), float("nan")])
+def test_correlations_need_a_second_pass_only_for_gaps(spark, monkeypatch, gap):
+    rng = random.Random(6)
+    rows = [(rng.random(), rng.random(), i % 2) for i in range(400)]
+    fills = []
+    real = summaries.impute_median
+    monkeypatch.setattr(summaries, "impute_median", lambda *a: fills.append(1) or real(*a))
+
+    def found(rows):
+        df = spark.createDataFrame(rows, "a double, b double, y int")
+        r = {(x["feature_a"], x["feature_b"]): x["r"] for x in summaries.correlation_matrix(df, ["a", "b"]).collect()}
+        return r["a", "b"], summaries.point_biserial(df, "y", ["a"]).first()["r"]
+
+    a, b, y = map(np.array, zip(*rows))
+    assert found(rows) == pytest.approx((np.corrcoef(a, b)[0, 1], np.corrcoef(a, y)[0, 1]), abs=1e-12) and not fills
+    a[7] = np.median(np.delete(a, 7))
+    assert found([*rows[:7], (gap, *rows[7][1:]), *rows[8:]]) == pytest.approx((np.corrcoef(a, b)[0, 1], np.corrcoef(a, y)[0, 1]), abs=1e-12)
+    assert len(fills) == 2
+
+
+def test_stored_members_join_without_an_exchange(spark, trials):
+    from dyadica.sources import save_bucketed
+    split = sampling.stratified_split(trials.select("trial_id", "choice"), "choice")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = save_bucketed(trials.select("trial_id", "subject", "choice"), "bucketed_trials", buckets=4)
+        members = save_bucketed(sampling.split_members(split, "test"), "bucketed_members", buckets=4)
+        for keep in (True, False):
+            rows = sampling.members_of(stored, members, keep=keep)
+            assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+            want = sampling.split_members(split, "test" if keep else "train").select("trial_id").collect()
+            assert sorted(r["trial_id"] for r in rows.collect()) == sorted(r["trial_id"] for r in want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table if exists bucketed_trials")
+        spark.sql("drop table if exists bucketed_members")
