@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
@@ -61,17 +60,18 @@ def bounded(c: str) -> Column:
 def gap_counts(cols: list[str]) -> list[Column]:
     """Aggregates that ``gaps_in`` reads: all rows, and the usable values of every column.
 
-    They can ride on a pass that is run anyway: another aggregate, or the ``observe`` of a table that is written.
+    They can ride on an aggregate that is run anyway. (Not on an ``observe``: Spark's fitted models can't be sent to tasks
+    any more once a session has observed anything.)
     """
     return [F.count(F.lit(1)).alias("_all"), *[F.count(bounded(c)).alias(f"_have_{i}") for i, c in enumerate(cols)]]
 
 
-def gaps_in(seen: Mapping | Row, cols: list[str]) -> list[str]:
+def gaps_in(seen: Row, cols: list[str]) -> list[str]:
     """The columns with anything to fill."""
     return [c for i, c in enumerate(cols) if seen[f"_have_{i}"] < seen["_all"]]
 
 
-def impute_median(df: DataFrame, cols: list[str], seen: Mapping | Row | None = None) -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str], seen: Row | None = None) -> DataFrame:
     """Infinities become null, nulls become the column's exact median over the whole table.
 
     Only columns that have anything to fill get a median and a replacement expression. ``seen`` are the

@@ -80,7 +80,7 @@ def _normal_sql(z: str, steps: int = 4000) -> str:
             f"* exp(-0.5 * pow({top} * i / {steps}.0, 2)) / sqrt(2 * pi())) * {top} / {steps}.0 / 3) from range({steps} + 1) g(i))")
 
 
-def _gee_sql(steps: int = 9) -> str:
+def _gee_sql(steps: int = 20) -> str:
     """The published equations as a chain of steps: sums by subject, totals, a 4x4 solve and the next correlation."""
     parts = ["x as materialized (select choice, subject, abs(EV_diff) as s, complexity as c from lab)",
              "b0 as materialized (select [0.0, 0.0, 0.0, 0.0]::double[] as b, 0.0::double as alpha, 0.0::double as moved)"]
