@@ -3,10 +3,10 @@
 Words are runs of letters and digits, lower-cased; a gram is a word or two neighbouring words of a line. A multinomial
 logistic regression with an L1 penalty over the presence of grams (those of ``TEMPLATES``, which is all that tells
 licences) tells the licence families and the class *unknown* apart. It is trained on the notices and the other
-lines of a bounded sample of the corpus (``SAMPLE`` lines, documents chosen by a digest of the id; a line is a notice there if
-it has ``CONFIRM`` of a template's word pairs) and on the templates, whole and clipped at either end as line ends
-clip them. Half of the sample's other lines are held back: the cut-off on the probability of *unknown* is set so that at most
-``FALSE_SHARE`` of them would be taken for licences.
+lines of the whole corpus (a line is a notice there if it has ``CONFIRM`` of a template's word pairs) and on the templates, whole
+and clipped at either end as line ends clip them. Lines with the same grams are one row with their number as its weight, so a pass
+over the texts and a table of gram sets hold all lines. Half of the other lines are held back: the cut-off on the
+probability of *unknown* is set so that at most ``FALSE_SHARE`` of them would be taken for licences.
 
 Prediction: the penalty leaves few grams with a weight, and a line without one that speaks for a family has the
 intercept's probability, so only lines with such a gram are scored. A gram speaks for a family if it raises the family's odds by a factor of e to the ``SPEAKS``. Neighbouring lines
@@ -32,9 +32,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_digest, pinned, table, written
+from .common import pinned, table, written
 
-SAMPLE, FALSE_SHARE, CONFIRM, PENALTY, SPEAKS = 20_000, 0.0005, 0.6, 0.0002, 1.5
+FALSE_SHARE, CONFIRM, PENALTY, SPEAKS = 0.0005, 0.6, 0.0002, 1.5
 #: Short notices by family, as their publishers or common practice word them.
 TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0",
@@ -153,7 +153,7 @@ class Classifier:
     weights: dict[str, list[float]]
     intercepts: list[float]
     cutoff: float
-    common: dict[str, int]  # how often the words of the grams are in the sample
+    common: dict[str, int]  # lines of the corpus that have a word of the grams
 
     def speaks_for(self, gram: str) -> list[str]:
         """Families whose odds against *unknown* the gram raises by e to the ``SPEAKS`` at least."""
@@ -170,37 +170,47 @@ class Classifier:
         return sorted(found)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+def gram_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """grams, half, n: how many lines of the corpus have this set of known grams, by a digest's half; lines without a word don't count.
+
+    All that training asks of a line is in its grams, so one row stands for all lines alike.
+    """
+    known = vocabulary()
+    lines = docs.select(F.explode(_lines(F.col(f"`{text_col}`"))).alias("given")).select(_words(F.col("given")).alias("words"))
+    half = (F.crc32(F.concat_ws(" ", "words").cast("binary")) % 2).cast("int")
+    # Few words are known: the others are blanked before words are paired, and a pair with a blank is never made.
+    known_words = F.transform("words", lambda w: F.when(w.isin([g for g in known if " " not in g]), w))
+    found = lines.select(known_words.alias("words"), half.alias("half"), (F.size("words") > 0).cast("long").alias("counts"))
+    found = found.select(F.array_sort(_grams("words", known)).alias("grams"), "half", "counts")
+    return found.groupBy("grams", "half").agg(F.sum("counts").alias("n")).where("n > 0")
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Classifier:
     spark = docs.sparkSession
-    share = min(1.0, SAMPLE / 8 / max(1, docs.count()))  # a document has some eight lines
-    cut = f"{min(int(share * 16 ** 8), 16 ** 8 - 1):08x}"
-    chosen = docs.where(F.substring(F.coalesce(id_digest(F.col(f"`{id_col}`")), F.lit("0")), 1, 8) <= cut)
-    lines = chosen.select(F.explode(_lines(F.col(f"`{text_col}`"))).alias("given")).select(
-        F.monotonically_increasing_id().alias("n"), _words(F.col("given")).alias("words"))
-    lines = pinned(lines.where(F.size("words") > 0))
-    likest = _shares(lines, ["n"], "words").groupBy("n").agg(F.max(F.struct("share", "family")).alias("best"))
-    seen = lines.join(likest, "n", "left").select("words", F.col("best.share").alias("share"), F.col("best.family").alias("family"))
+    sets = pinned(gram_sets(docs, text_col).withColumn("line", F.monotonically_increasing_id()))
+    held = sets.select("line", F.explode("grams").alias("pair")).join(_templates(spark), "pair")
+    shares = held.groupBy("line", "family", "template", "pairs_n").agg(F.count(F.lit(1)).alias("held"))
+    likest = shares.groupBy("line").agg(F.max(F.struct((F.col("held") / F.col("pairs_n")).alias("share"), "family")).alias("best"))
+    seen = sets.join(likest, "line", "left").select("grams", "half", "n", F.col("best.share").alias("share"), F.col("best.family").alias("family"))
     number = F.coalesce(*[F.when(F.col("family") == c, float(k)) for k, c in enumerate(CLASSES)], F.lit(0.0))
-    half = F.crc32(F.concat_ws(" ", "words").cast("binary")) % 2
-    known = vocabulary()
-    sample = pinned(seen.where(f"share is null or share >= {CONFIRM} or share < 0.3").select(
-        _grams("words", known).alias("grams"), F.when(F.col("share") >= CONFIRM, number).otherwise(0.0).alias("label"), half.alias("half")))
+    lines = pinned(seen.where(f"share is null or share >= {CONFIRM} or share < 0.3").select(
+        "grams", "half", "n", F.when(F.col("share") >= CONFIRM, number).otherwise(0.0).alias("label")))
     made = spark.createDataFrame(notices(), "line string, family string").select(_words(F.col("line")).alias("words"), "family")
-    made = made.select(_grams("words", known).alias("grams"), number.alias("label"))
-    rows = sample.where("half = 0 or label > 0").select("grams", "label").unionByName(made)
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    # All families together weigh as much as the sample, or the larger the sample the less likely a notice is one.
+    made = made.select(_grams("words", vocabulary()).alias("grams"), number.alias("label"), F.lit(1).cast("long").alias("n"))
+    rows = lines.where("half = 0 or label > 0").select("grams", "label", "n").unionByName(made)
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    # All families together weigh as much as the corpus, or the larger the corpus the less likely a notice is one.
     others = sum(n for label, n in sizes.items() if label)
-    rows = rows.withColumn("weight", F.when(F.col("label") > 0, max(1.0, sizes.get(0.0, 0) / others)).otherwise(1.0))
-    counts = CountVectorizerModel.from_vocabulary(known, inputCol="grams", outputCol="features", minTF=1.0, binary=True)
+    rows = rows.withColumn("weight", F.col("n") * F.when(F.col("label") > 0, max(1.0, sizes.get(0.0, 0) / others)).otherwise(1.0))
+    counts = CountVectorizerModel.from_vocabulary(vocabulary(), inputCol="grams", outputCol="features", minTF=1.0, binary=True)
     fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=PENALTY, elasticNetParam=1.0, maxIter=60,
-                                standardization=False).fit(pinned(counts.transform(rows).coalesce(4)))  # a bounded sample, many short rounds
-    held = fitted.transform(counts.transform(sample.where("half = 1 and label = 0"))).select(vector_to_array("probability")[0].alias("p"))
-    cutoff = held.agg(F.percentile("p", F.lit(FALSE_SHARE))).first()[0]
+                                standardization=False).fit(pinned(counts.transform(rows)))
+    unseen = fitted.transform(counts.transform(lines.where("half = 1 and label = 0"))).select(vector_to_array("probability")[0].alias("p"), "n")
+    cutoff = unseen.agg(F.percentile("p", F.lit(FALSE_SHARE), F.col("n"))).first()[0]
     matrix = fitted.coefficientMatrix.toArray()
-    weights = {g: [float(v) for v in matrix[:, i]] for i, g in enumerate(known) if matrix[:, i].any()}
-    words = lines.select(F.explode("words").alias("w")).where(F.col("w").isin([g for g in known if " " not in g]))
-    common = {r["w"]: r["count"] for r in words.groupBy("w").count().collect()}
+    weights = {g: [float(v) for v in matrix[:, i]] for i, g in enumerate(vocabulary()) if matrix[:, i].any()}
+    words = sets.select("n", F.explode("grams").alias("w")).where(~F.col("w").contains(" "))
+    common = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return Classifier(weights, [float(v) for v in fitted.interceptVector], min(0.5, cutoff if cutoff is not None else 0.5), common)
 
 
@@ -260,7 +270,7 @@ def _counted_lines(units: DataFrame) -> DataFrame:
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Classifier | None = None) -> DataFrame:
     """One row per document: id, licences (families, comma-joined), n_licence_lines, probability, similarity."""
-    model = model or train(docs, id_col, text_col)
+    model = model or train(docs, text_col)
     rows = written(docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"),
                                _triggered(F.col(f"`{text_col}`"), model).alias("lines")), "licence-lines")
     units = pinned(predicted_units(rows.select("row", F.inline("lines")), model))

@@ -111,3 +111,14 @@ def test_model_is_bounded_and_sparse(model):
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert licences.licence_scan(none).collect() == []
+
+
+def test_training_counts_every_line_of_the_corpus(spark):
+    rows = [(i, "\n".join(["The  License, of", "", f"plain text x{i}", *["more of the same"] * 5, "Released under the MIT License"])) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {(tuple(r["grams"]), r["half"]): r["n"] for r in licences.gram_sets(docs).collect()}
+    assert sum(sets.values()) == 8 * 4000
+    known = set(licences.vocabulary())
+    assert {grams for grams, _ in sets} == {tuple(sorted(plain_grams(line) & known)) for line in rows[0][1].split("\n") if line}
+    model = licences.train(docs)
+    assert (model.common["license"], model.common["of"], model.common["mit"]) == (8000, 24000, 4000)
