@@ -115,18 +115,20 @@ def mixing_slots(sizes: DataFrame, goals: DataFrame, block: int = BLOCK,
     last_slot = F.col("first_slot") + F.col("slots") - 1
     steps = plan.select("rank", "first_slot", last_slot.alias("last_slot"), F.explode(F.sequence(
         F.floor(F.col("first_slot") / shard_slots), F.floor(last_slot / shard_slots))).alias("cell"))
-    counts = (draws.join(steps, "cell").where("drawn between first_slot and last_slot")
+    # The planner takes exploded rows for as few as those they come from, so joins with them are told not to broadcast.
+    counts = (draws.hint("merge").join(steps, "cell").where("drawn between first_slot and last_slot")
               .groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n")))
     earlier = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     counts = pinned(counts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
     got = counts.groupBy("rank").agg(F.sum("n").alias("got"))
+    known = ["rank", "source", "n_full", "epochs", "per_epoch", "rest"]
     used = (counts.join(plan, "rank").where("offset < slots")
-            .select("rank", "shard", F.explode(F.sequence(
+            .select(*known, "shard", F.explode(F.sequence(
                 F.col("offset"), F.least(F.col("offset") + F.col("n"), F.col("slots")) - 1)).alias("slot")))
     short = (plan.join(got, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
-             .select("rank", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("slot"))
-             .select("rank", F.pmod(F.xxhash64("rank", "slot"), F.lit(max(n_shards, 1))).alias("shard"), "slot"))
-    slots = used.unionByName(short).join(plan, "rank")
+             .select(*known, F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("slot"))
+             .select(*known, F.pmod(F.xxhash64("rank", "slot"), F.lit(max(n_shards, 1))).alias("shard"), "slot"))
+    slots = used.unionByName(short)
     inner = F.col("slot") % F.col("per_epoch")
     n_full = F.col("n_full")
     return (slots.withColumn("epoch", F.floor(F.col("slot") / F.col("per_epoch")))
@@ -153,7 +155,7 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     ends = F.floor((F.col("start") + F.col("size") - 1) / block)
     held = (_streams(sizes.where("size > 0"))
             .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), ends))))
-    joined = held.join(slots.withColumnRenamed("source", "slot_source"),
+    joined = held.join(slots.withColumnRenamed("source", "slot_source").hint("merge"),
                        F.col("source").eqNullSafe(F.col("slot_source")) & (held["block"] == slots["block"]))
     base = held["block"] * block
     start, size = F.col("start"), F.col("size")
